@@ -74,7 +74,7 @@ def _walk(universe_bits: int, emit_codes: bool):
         def done():
             if emit_codes and code is not None:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part]), pa.array([code.n]), pa.array([code.nbytes]), pa.array([code.to_bytes()], pa.binary())], ["part", "n", "bytes", "code"]
+                    [pa.array([part], pa.int32()), pa.array([code.n]), pa.array([code.nbytes]), pa.array([code.to_bytes()], pa.binary())], ["part", "n", "bytes", "code"]
                 )
 
         for b in batches:

@@ -1,6 +1,7 @@
 """Near-duplicate pages by MinHash banding, verified on whole n-gram sets.
 
-1. Every body becomes its set of hashed word triples, written once. Equal sets form a class; only one
+1. Every body becomes its set of word triples, hashed to 32 bits (in a set of 500 a wrong match has odds
+   of 1 : 10,000 and moves the similarity by 1/500), written once. Equal sets form a class; only one
    representative of a class goes on, so a page stored again many times costs one row per step.
 2. Document frequencies of all triples are counted in one hashed table of fixed size (all documents, all
    triples). Triples in more than ``common_share`` of the documents - menus and notices of big sites -
@@ -36,7 +37,7 @@ _TABLE_BITS = 22  # counters of the frequency table
 _SLICES = 64
 _SKETCH = 256
 
-SETS = "id long, c1 long, c2 long, n int, grams array<long>"
+SETS = "id long, c1 long, c2 long, grams array<int>"
 
 
 def bands_for(similarity: float, rows: int, recall: float) -> int:
@@ -75,7 +76,8 @@ def _sets(size: int, is_page: bool):
     def run(batches):
         known: dict[str, int] = {}
         for b in batches:
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], []]
+            sizes = [0]
             for i, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of_page(body) if is_page else body.lower().split()
                 g = _grams(words, size, known)
@@ -83,25 +85,27 @@ def _sets(size: int, is_page: bool):
                     continue
                 raw = xxhash.xxh3_128_intdigest(g.tobytes())
                 signed = np.array([raw & (2**64 - 1), raw >> 64], np.uint64).view(np.int64)
-                for c, v in zip(cols, (i, int(signed[0]), int(signed[1]), len(g), g.view(np.int64))):
+                short = np.unique((g >> np.uint64(32)).astype(np.uint32))
+                sizes.append(sizes[-1] + len(short))
+                for c, v in zip(cols, (i, int(signed[0]), int(signed[1]), short.view(np.int32))):
                     c.append(v)
-            sizes = np.concatenate(([0], np.cumsum(cols[3]))).astype(np.int32)
-            flat = np.concatenate(cols[4]) if cols[4] else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))],
-                ["id", "c1", "c2", "n", "grams"],
-            )
+            flat = np.concatenate(cols[3]) if cols[3] else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), lists], ["id", "c1", "c2", "grams"])
 
     return run
 
 
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint32(32 - _TABLE_BITS)).astype(np.int64)
+
+
 def _count_table(batches):
     """Counts of hashed triples in this partition, cut into slices."""
     counts = np.zeros(1 << _TABLE_BITS, np.int32)
     for b in batches:
-        g = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        # bincount over a batch is one pass; the table has a fixed size
-        counts += np.bincount((g >> np.uint64(64 - _TABLE_BITS)).astype(np.int64), minlength=1 << _TABLE_BITS).astype(np.int32)
+        g = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+        counts += np.bincount(_slot(g), minlength=1 << _TABLE_BITS).astype(np.int32)
     width = (1 << _TABLE_BITS) // _SLICES
     for s in range(_SLICES):
         part = counts[s * width : (s + 1) * width]
@@ -139,14 +143,11 @@ def _coefficients(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _minima(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = ((grams >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    y = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
     out = np.empty(len(a), np.uint32)
     for s in range(0, len(a), 64):
-        h = x[None, :] * a[s : s + 64, None] + (y[None, :] ^ b[s : s + 64, None])
+        h = (grams[None, :] ^ b[s : s + 64, None]) * a[s : s + 64, None]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        h ^= h >> np.uint32(13)
         out[s : s + 64] = h.min(axis=1)
     return out
 
@@ -169,8 +170,8 @@ def _signatures(table, rare_share: float, rare: tuple[int, int], full: tuple[int
         for b in batches:
             out = [[], [], []]
             for i, g in zip(b.column("id").to_pylist(), b.column("grams")):
-                g = g.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                few = g[~bits[(g >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]]
+                g = g.values.to_numpy(zero_copy_only=False).view(np.uint32)
+                few = g[~bits[_slot(g)]]
                 keys = [_band_keys(_minima(few, ra, rb), rare[1], 0)] if len(few) else []
                 if len(few) < rare_share * len(g):
                     keys.append(_band_keys(_minima(g, fa, fb), full[1], 1))
@@ -217,23 +218,25 @@ class NearDuplicates:
 
     def __init__(
         self, texts: DataFrame, similarity: float, gram: int, is_page: bool,
-        recall: float = 0.999, common_share: float = 0.001, rare_share: float = 0.7, rare_rows: int = 4, full_rows: int = 6,
+        recall: float = 0.995, common_share: float = 0.001, rare_share: float = 0.8, rare_rows: int = 4, full_rows: int = 5,
     ):
         """``texts``: id long, text (binary for pages, string otherwise); rows with null id or text or fewer words than a gram have no partner."""
         spark = texts.sparkSession
         self.sets = sets = materialize(texts.filter("id is not null and text is not null").mapInArrow(_sets(gram, is_page), SETS), "ngrams")
         rep = sets.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-        # a class can hold a third of all rows: the join is on the class, whose side with the representatives is unique
+        # a class can hold a third of all rows: the side with the representatives is unique, so a hot class is one probe key
         self.members = materialize(sets.select("id", "c1", "c2").join(rep, ["c1", "c2"]).select("id", "rep"), "classes")
-        reps = self.members.filter("id = rep").select("id").distinct()
-        own = materialize(sets.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "grams"), "representatives")
+        # written by itself: with few copies its known size makes the next joins broadcasts, with many they shuffle
+        copies = materialize(self.members.filter("id <> rep").select("id"), "copies")
+        own = sets.join(copies, "id", "left_anti").select("id", "grams")
         docs = own.count()
         table = spark.sparkContext.broadcast(common_grams(own, max(8.0, common_share * docs)))  # 512 KB
         c = 1 - rare_share
-        rare = (bands_for((similarity - c) / (1 - c), rare_rows, min(recall, 0.95)), rare_rows)
+        rare = (bands_for((similarity - c) / (1 - c), rare_rows, 0.95), rare_rows)
         full = (bands_for(similarity, full_rows, recall), full_rows)
         signed = materialize(own.mapInArrow(_signatures(table, rare_share, rare, full), "id long, bands array<long>, sketch binary"), "signatures")
-        band = signed.select("id", F.explode("bands").alias("band"))
+        # one exchange serves both sides of the self-join
+        band = signed.select("id", F.explode("bands").alias("band")).repartition(shuffle_width(spark), "band")
         meet = band.withColumnRenamed("id", "a").join(band.withColumnRenamed("id", "b"), "band").filter("a < b").select("a", "b").distinct()
         sketch = signed.select("id", "sketch")
         near = (

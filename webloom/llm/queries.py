@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.llm import near_duplicates, seen_keys, tokens
+from webloom.llm import charset, near_duplicates, residue, seen_keys, tokens, truncation
 from webloom.runtime import table
 
 
+def p1_found(spark, d):
+    return charset.garbled_records(table(spark, d, "responses"), table(spark, d, "headers"))
+
+
+def p1_restored(spark, d):
+    return charset.garbled_records(table(spark, d, "responses"), table(spark, d, "headers"), with_text=True)
+
+
 def p2_found(spark, d):
     return seen_keys.seen_before(table(spark, d, "fingerprints"), table(spark, d, "seen_keys"))
 
@@ -21,6 +29,14 @@ def p2_filter_size(spark, d):
     return codes.agg(F.sum("n").alias("n_keys"))
 
 
+def p3_found(spark, d):
+    return residue.residue_pages(table(spark, d, "responses"))
+
+
+def p3_validation(spark, d):
+    return residue.validation(table(spark, d, "responses"))
+
+
 def p6_found(spark, d):
     return near_duplicates.near_duplicate_pages(table(spark, d, "responses")).pairs()
 
@@ -45,8 +61,19 @@ def p8_shares(spark, d):
     return tokens.mixture_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_found(spark, d):
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_shares(spark, d):
+    return truncation.truncation_shares(table(spark, d, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_error_rate, p2_filter_size, p6_found, p6_classes, p7_ids, p7_round_trip, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (
+        p1_found, p1_restored, p2_found, p2_error_rate, p2_filter_size, p3_found, p3_validation, p6_found, p6_classes,
+        p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_shares,
+    )}
 
 
 _KEYS = r"""

@@ -148,7 +148,7 @@ def parse(body: str) -> Page:
                     if name in _HOLDERS and name not in ("tr", "ul", "ol", "dl"):
                         # a block with its text on the same line is a leaf, not a container
                         holder_stack.append(holder)
-                        if s[at:].lstrip()[:1] in ("", "<") or name not in ("div", "td"):
+                        if name not in ("div", "td") or not _TAG.sub("", s[at:]).strip():
                             holders += 1
                             holder = holders
                     elif name in _HOLDERS:

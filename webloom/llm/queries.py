@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.llm import charset, near_duplicates, residue, seen_keys, tokens, truncation
+from webloom.llm import boilerplate, charset, near_duplicates, residue, seen_keys, tokens, truncation
 from webloom.runtime import table
 
 
@@ -37,6 +37,14 @@ def p3_validation(spark, d):
     return residue.validation(table(spark, d, "responses"))
 
 
+def p5_found(spark, d):
+    return boilerplate.main_lines(table(spark, d, "responses"))
+
+
+def p5_validation(spark, d):
+    return boilerplate.validation(table(spark, d, "responses"))
+
+
 def p6_found(spark, d):
     return near_duplicates.near_duplicate_pages(table(spark, d, "responses")).pairs()
 
@@ -71,7 +79,7 @@ def p9_shares(spark, d):
 
 def queries():
     return {f.__name__: f for f in (
-        p1_found, p1_restored, p2_found, p2_error_rate, p2_filter_size, p3_found, p3_validation, p6_found, p6_classes,
+        p1_found, p1_restored, p2_found, p2_error_rate, p2_filter_size, p3_found, p3_validation, p5_found, p5_validation, p6_found, p6_classes,
         p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_shares,
     )}
 

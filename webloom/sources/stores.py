@@ -17,7 +17,7 @@ def requests(queue: DataFrame) -> DataFrame:
     p = F.from_json(F.col("payload").cast("string"), REQUEST)
     number = F.regexp_extract(F.coalesce("priority", F.lit("")), r"^\s*([+-]?\d+)\s*$", 1)
     return queue.select(
-        "request_id", F.col("sequence").alias("seq"), F.when(number != "", F.expr("try_cast(_n as decimal(38,0))") if False else number.try_cast("decimal(38,0)")).alias("priority"),
+        "request_id", F.col("sequence").alias("seq"), F.when(number != "", number.try_cast("decimal(38,0)")).alias("priority"),
         (F.coalesce("is_start", F.lit(0)) != 0).alias("is_start"), p["url"].alias("url"), F.upper(p["method"]).alias("method"), p["body"].alias("body"), F.coalesce(p["meta"]["depth"], F.lit(0)).alias("depth"), p["callback"].alias("callback"),
     )
 

@@ -133,7 +133,7 @@ def _arrivals(spark, d):
     return table(spark, d, "fingerprints").select("seq", "slot", "depth", F.when(hexa != "", F.lower(hexa)).alias("fp"))
 
 
-@query(f"WITH {_KEYS} SELECT seq, fp <> '' AND row_number() OVER (PARTITION BY fp ORDER BY seq) > 1 AS seen FROM a")
+@query(f"WITH {_KEYS} SELECT seq, coalesce(fp, '') <> '' AND row_number() OVER (PARTITION BY fp ORDER BY seq) > 1 AS seen FROM a")
 def dupefilter_seen(spark, d):
     return frontier.seen_flags(_arrivals(spark, d), "fp", "seq").select("seq", "seen")
 
@@ -599,7 +599,7 @@ _EVENTS = T.StructType.fromDDL("event_id long, ts timestamp_ntz, user_id long, e
 
 
 def _stream(spark, d):
-    s = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet")
+    s = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -6,7 +6,9 @@ token transforms where an escape or an unusual character is present.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that stand unquoted in a path, in a query name or value, and in a fragment.
@@ -191,11 +193,10 @@ def host_suffixes(host: Column) -> Column:
 
 
 def has_extension(url: Column, extensions: list[str]) -> Column:
-    p = F.lower(path(url))
-    out = F.lit(False)
-    for e in extensions:
-        out = out | p.endswith(e.lower())
-    return out
+    """Whether the path ends in one of the extensions (one pattern, not a test each)."""
+    if not extensions:
+        return F.lit(False)
+    return F.lower(path(url)).rlike("(?:" + "|".join(re.escape(e.lower()) for e in extensions) + ")$")
 
 
 def _remove_dots(p: Column) -> Column:
@@ -212,27 +213,47 @@ def _remove_dots(p: Column) -> Column:
     return F.when(~p.rlike(r"(^|/)\.\.?(/|$)"), p).otherwise(F.array_join(closed, "/"))
 
 
-def join(base: Column, ref: Column) -> Column:
-    """Reference resolved against a base address (RFC 3986); null if either is null."""
-    r = clean(ref)
-    b = clean(base)
-    bp = lambda i: F.regexp_extract(b, _PARTS, i)
-    root = F.concat(F.lower(bp(1)), F.lit(":"))
-    site = F.concat(root, bp(2))
-    rpath = F.regexp_extract(r, r"^([^?#]*)", 1)
-    rest = F.regexp_extract(r, r"^[^?#]*([\s\S]*)$", 1)
-    folder = F.when((bp(2) != "") & (bp(3) == ""), "/").otherwise(F.regexp_extract(bp(3), r"^([\s\S]*/)", 1))
+def _resolved(r: Column, b: Column, root: Column, site: Column, folder: Column, bpath: Column, rpath: Column, rest: Column) -> Column:
+    absolute = r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    # one dot-segment removal serves the absolute, rooted and relative cases
+    head = F.when(absolute, F.regexp_extract(r, r"^([A-Za-z][A-Za-z0-9+.\-]*:(?://[^/?#]*)?)", 1)).otherwise(site)
+    whole = F.when(absolute, F.regexp_extract(r, r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/?#]*)?([^?#]*)", 1)).when(rpath.startswith("/"), rpath).otherwise(F.concat(folder, rpath))
+    own = F.regexp_replace(b, r"#[\s\S]*$", "")
     return (
-        F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.concat(F.regexp_extract(r, r"^([A-Za-z][A-Za-z0-9+.\-]*:(?://[^/?#]*)?)", 1), _remove_dots(F.regexp_extract(r, _PARTS, 3)), F.regexp_extract(r, _PARTS, 4), F.regexp_extract(r, _PARTS, 5)))
-        .when(r.startswith("//"), F.concat(root, r))
-        .when(r == "", F.regexp_replace(b, r"#[\s\S]*$", ""))
-        .when(r.startswith("#"), F.concat(F.regexp_replace(b, r"#[\s\S]*$", ""), r))
-        .when(r.startswith("?"), F.concat(site, bp(3), r))
-        .when(r.startswith("/"), F.concat(site, _remove_dots(rpath), rest))
-        .otherwise(F.concat(site, _remove_dots(F.concat(folder, rpath)), rest))
+        F.when(r.startswith("//"), F.concat(root, r))
+        .when(r == "", own)
+        .when(r.startswith("#"), F.concat(own, r))
+        .when(r.startswith("?"), F.concat(site, bpath, r))
+        .otherwise(F.concat(head, _remove_dots(whole), rest))
     )
 
 
+def _base_parts(b: Column) -> dict[str, Column]:
+    bp = lambda i: F.regexp_extract(b, _PARTS, i)
+    return {
+        "root": F.concat(F.lower(bp(1)), F.lit(":")), "site": F.concat(F.lower(bp(1)), F.lit(":"), bp(2)), "bpath": bp(3),
+        "folder": F.when((bp(2) != "") & (bp(3) == ""), "/").otherwise(F.regexp_extract(bp(3), r"^([\s\S]*/)", 1)),
+    }
+
+
+def join(base: Column, ref: Column) -> Column:
+    """Reference resolved against a base address (RFC 3986); null if either is null. Over many rows use ``resolve``."""
+    r, b = clean(ref), clean(base)
+    return _resolved(r, b, rpath=F.regexp_extract(r, r"^([^?#]*)", 1), rest=F.regexp_extract(r, r"^[^?#]*([\s\S]*)$", 1), **_base_parts(b))
+
+
+def resolve(df: DataFrame, base: str, ref: str, out: str) -> DataFrame:
+    """``df`` with column ``out``: ``ref`` resolved against ``base``.
+
+    The parts are columns of their own, each used several times, so the optimizer keeps them apart: every
+    part is computed once a row and the generated code stays small.
+    """
+    d = df.withColumns({"_r": clean(F.col(ref)), "_b": clean(F.col(base))})
+    d = d.withColumns({f"_{k}": v for k, v in _base_parts(F.col("_b")).items()} | {"_rpath": F.regexp_extract("_r", r"^([^?#]*)", 1), "_rest": F.regexp_extract("_r", r"^[^?#]*([\s\S]*)$", 1)})
+    c = {k: F.col(f"_{k}") for k in ("r", "b", "root", "site", "folder", "bpath", "rpath", "rest")}
+    return d.withColumn(out, _resolved(**c)).drop(*[f"_{k}" for k in c])
+
+
 def form_encode(pairs: Column) -> Column:
     """application/x-www-form-urlencoded text of an array of structs k, v; null values count as ''."""
     return F.array_join(F.transform(pairs, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(F.coalesce(p["v"], F.lit(""))))), "&")

@@ -68,23 +68,24 @@ def redirect(df: DataFrame, most: int = 20, adjust: int = 2) -> DataFrame:
     Adds ``target`` (null where the response is no redirect to follow), ``new_method``, ``new_body``,
     ``drop_headers`` (names not to be sent on) and ``outcome``: none, follow, unsupported or too_many.
     """
-    joined = urls.join(F.col("url"), F.col("location"))
-    fragment = F.regexp_extract("url", r"(#[\s\S]*)$", 1)
-    target = F.when(joined.contains("#"), joined).otherwise(F.concat(joined, fragment))
+    df = urls.resolve(df, "url", "location", "_joined")
+    df = df.withColumn("_target", F.when(F.col("_joined").contains("#"), F.col("_joined")).otherwise(F.concat("_joined", F.regexp_extract("url", r"(#[\s\S]*)$", 1))))
+    df = df.withColumns({"_ts": urls.scheme(F.col("_target")), "_th": urls.hostname(F.col("_target"))})
+    target = F.col("_target")
     is_redirect = F.col("status").isin(*_REDIRECTS) & F.col("location").isNotNull() & (F.trim("location") != "")
-    followable = urls.scheme(target).isin("http", "https")
+    followable = F.col("_ts").isin("http", "https")
     outcome = F.when(~F.coalesce(is_redirect, F.lit(False)), "none").when(~followable, "unsupported").when(F.coalesce("redirect_times", F.lit(0)) + 1 > most, "too_many").otherwise("follow")
     method = F.upper("method")
     to_get = ((F.col("status") == 303) & ~method.isin("GET", "HEAD")) | (F.col("status").isin(301, 302) & (method == "POST"))
-    cross_host = urls.hostname(target) != urls.hostname(F.col("url"))
-    weaker = (urls.scheme(F.col("url")) == "https") & (urls.scheme(target) == "http")
+    cross_host = F.col("_th") != urls.hostname(F.col("url"))
+    weaker = (urls.scheme(F.col("url")) == "https") & (F.col("_ts") == "http")
     empty = F.array().cast("array<string>")
     drop = F.concat(
         F.array(F.lit("Referer")),
         F.when(to_get, F.array(F.lit("Content-Type"), F.lit("Content-Length"))).otherwise(empty),
         F.when(cross_host, F.array(F.lit("Cookie"), F.lit("Authorization"))).when(weaker, F.array(F.lit("Cookie"))).otherwise(empty),
     )
-    follow = outcome == "follow"
+    follow = F.col("outcome") == "follow"
     return (
         df.withColumn("outcome", outcome)
         .withColumn("target", F.when(follow, target))
@@ -93,6 +94,7 @@ def redirect(df: DataFrame, most: int = 20, adjust: int = 2) -> DataFrame:
         .withColumn("drop_headers", F.when(follow, drop))
         .withColumn("new_priority", F.when(follow, F.col("priority") + adjust))
         .withColumn("new_redirect_times", F.when(follow, F.coalesce("redirect_times", F.lit(0)) + 1))
+        .drop("_joined", "_target", "_ts", "_th")
     )
 
 

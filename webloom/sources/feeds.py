@@ -101,7 +101,7 @@ def xml_text(xml: Column, name: str) -> Column:
 
 def data_url(url: Column) -> Column:
     """Struct (media_type, charset, body) of a data address; null for others."""
-    m = lambda i: F.regexp_extract(url, r"(?is)^data:([^;,]*)((?:;[^,]*?)?)(;base64)?,([\s\S]*)$", i)
+    m = lambda i: F.regexp_extract(url, r"(?is)^data:([^;,]*)((?:;[^,]*?)??)(;base64)?,([\s\S]*)$", i)
     raw = m(4)
     plain = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
     charset = F.regexp_extract(m(2), r"(?i);charset=\"?([^;\"]*)", 1)

@@ -35,10 +35,11 @@ def sessions(stream: DataFrame, ts: str = "ts", key: str = "slot", gap: str = "1
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def throttle(stream: DataFrame, start: float = 5.0, least: float = 0.0, most: float = 60.0, concurrency: float = 1.0, idle: str = "60 seconds") -> DataFrame:
+def throttle(stream: DataFrame, start: float = 5.0, least: float = 0.0, most: float = 60.0, concurrency: float = 1.0, idle: str | None = None) -> DataFrame:
     """AutoThrottle over a stream of (slot, ts, seq, latency, status, adjust): a row per slot and batch with its delay and counters.
 
-    The state of a slot is five numbers; slots idle for ``idle`` are dropped. Rows of a slot within a batch
+    The state of a slot is five numbers; with ``idle`` slots without events for that time are dropped (such a
+    query runs until it is stopped, as timeouts keep it busy). Rows of a slot within a batch
     are folded in order of ts, seq.
     """
 
@@ -61,13 +62,14 @@ def throttle(stream: DataFrame, start: float = 5.0, least: float = 0.0, most: fl
                 up, down, same = up + (new > delay), down + (new < delay), same + (new == delay)
                 delay = new
         state.update((float(delay), int(up), int(down), int(same), int(ignored)))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], delay, up, down, same, ignored)], columns=["slot", "delay", "increased", "decreased", "unchanged", "ignored"])
 
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
     kind = stream.schema["slot"].dataType.simpleString()
     return stream.filter("slot is not null").groupBy("slot").applyInPandasWithState(
-        fold, f"slot {kind}, delay double, increased long, decreased long, unchanged long, ignored long", "delay double, increased long, decreased long, unchanged long, ignored long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        fold, f"slot {kind}, delay double, increased long, decreased long, unchanged long, ignored long", "delay double, increased long, decreased long, unchanged long, ignored long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     )
 
 

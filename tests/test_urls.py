@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
-from webloom.functions.fingerprint import fingerprint
+from webloom.functions.fingerprint import fingerprint, with_fingerprint
 
 CANONICAL = [
     ("http://www.example.com", "http://www.example.com/"),
@@ -41,8 +41,9 @@ CANONICAL = [
 
 def test_canonical_forms(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(CANONICAL)], "i int, url string, want string")
-    for r in df.withColumn("got", urls.canonicalize(F.col("url"))).collect():
+    for r in urls.with_canonical(df.withColumn("got", urls.canonicalize(F.col("url"))), "url", "staged").collect():
         assert r.got == r.want, r.url
+        assert r.staged == r.want, r.url
 
 
 def test_fingerprint_vectors(spark):
@@ -76,13 +77,15 @@ def test_fingerprint_with_headers(spark, headers, include, url, want):
 def test_stored_fingerprints(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/responses.parquet").filter("url is not null")
     assert df.filter(fingerprint(F.col("url")) != F.col("fingerprint")).count() == 0
+    assert with_fingerprint(df).filter(F.col("fp") != F.col("fingerprint")).count() == 0
 
 
 def test_join_follows_rfc(spark):
     base = "http://a/b/c/d;p?q"
     refs = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "./../g", "g/./h", "g/../h", "g?y/./x", "http://x/y/../z", "mailto:a@b"]
     df = spark.createDataFrame([(base, r) for r in refs], "base string, ref string")
-    for r in df.withColumn("got", urls.join(F.col("base"), F.col("ref"))).collect():
+    for r in urls.resolve(df.withColumn("got", urls.join(F.col("base"), F.col("ref"))), "base", "ref", "staged").collect():
+        assert r.staged == r.got
         want = {"http://x/y/../z": "http://x/z"}.get(r.ref, urljoin(base, r.ref))
         assert r.got == want, r.ref
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.functions import urls
-from webloom.functions.fingerprint import fingerprint
+from webloom.functions.fingerprint import with_fingerprint
 from webloom.operators import cookies, crawl, dom, frontier, heavy_keys, links, loader, media, policies, robots, stats, throttle
 from webloom.plans import chain
-from webloom.runtime import materialize, table
+from webloom.runtime import scratch_dir, table
 from webloom.sinks import exporters
 from webloom.sources import feeds, stores
 from webloom.streaming import ops as streams
@@ -50,7 +52,7 @@ q AS (SELECT *, sha1('{{"body": "' || lower(hex(encode(body))) || '", "headers":
 
 def _queue(spark, d):
     r = stores.requests(table(spark, d, "requests"))
-    return r.withColumn("fp", fingerprint(F.col("url"), F.col("method"), F.col("body")))
+    return with_fingerprint(r, "url", "fp", "method", "body")
 
 
 def _pages(spark, d):
@@ -62,12 +64,12 @@ def _pages(spark, d):
 
 @query("SELECT response_id, fingerprint AS fp FROM responses WHERE url IS NOT NULL")
 def request_fingerprint(spark, d):
-    return table(spark, d, "responses").filter("url is not null").select("response_id", fingerprint(F.col("url")).alias("fp"))
+    return with_fingerprint(table(spark, d, "responses").filter("url is not null").select("response_id", "url")).select("response_id", "fp")
 
 
 @query(f"WITH u AS (SELECT response_id, {_URL_PARTS.format(u='url')} FROM responses WHERE url IS NOT NULL) SELECT response_id, {_CANON} AS canonical FROM u")
 def url_canonicalize(spark, d):
-    return table(spark, d, "responses").filter("url is not null").select("response_id", urls.canonicalize(F.col("url")).alias("canonical"))
+    return urls.with_canonical(table(spark, d, "responses").filter("url is not null").select("response_id", "url"), "url", "canonical").select("response_id", "canonical")
 
 
 @query(rf"""WITH u AS (SELECT response_id, {_URL_PARTS.format(u='url')} FROM responses WHERE url IS NOT NULL),
@@ -604,9 +606,6 @@ def _stream(spark, d):
 
 
 def _drained(spark, stream, name, mode="append"):
-    from webloom.runtime import scratch_dir
-    import uuid
-
     tag = uuid.uuid4().hex[:8]
     return streams.drain(stream, f"{name}_{tag}", f"{scratch_dir(spark)}/{name}-{tag}", mode)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.urls import canonicalize
+from webloom.functions.urls import canonicalize, with_canonical
 
 
 def json_text(c: Column) -> Column:
@@ -47,3 +47,16 @@ def fingerprint(
     h = headers_json(headers, include_headers) if headers is not None and include_headers else F.lit("")
     method_json = json_text(m) if method is not None else F.lit('"GET"')
     return F.sha1(F.concat(F.lit('{"body": "'), b, F.lit('", "headers": {'), h, F.lit('}, "method": '), method_json, F.lit(', "url": '), json_text(u), F.lit("}")).cast("binary"))
+
+
+def with_fingerprint(df: DataFrame, url: str = "url", out: str = "fp", method: str | None = None, body: str | None = None) -> DataFrame:
+    """``df`` with the fingerprint of its requests: what ``fingerprint`` gives without headers, for many rows."""
+    d = with_canonical(df, url, "_c")
+    plain = F.col("_c").rlike(r'^[\x20-\x7f&&[^"\\]]*$')
+    text = F.when(plain, F.concat(F.lit('"'), "_c", F.lit('"'))).otherwise(json_text(F.col("_c")))
+    m = F.lit('"GET"')
+    if method:
+        up = F.upper(F.coalesce(method, F.lit("GET")))
+        m = F.when(up.rlike("^[A-Z]+$"), F.concat(F.lit('"'), up, F.lit('"'))).otherwise(json_text(up))
+    b = F.lower(F.hex(F.coalesce(F.col(body).cast("binary"), F.lit(b"")))) if body else F.lit("")
+    return d.withColumn(out, F.sha1(F.concat(F.lit('{"body": "'), b, F.lit('", "headers": {}, "method": '), m, F.lit(', "url": '), text, F.lit("}")).cast("binary"))).drop("_c")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.runtime import materialize
+
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row of each key in the order of the columns; null keys are no keys and are left out.
@@ -81,7 +83,9 @@ def ranked(queue: DataFrame, **how) -> DataFrame:
     keys = order_keys(**how)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = queue.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    numbered = parts.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33).cast("int")).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
+    # written once: sampled ranges may fall elsewhere in a second run
+    numbered = materialize(parts.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    numbered = numbered.withColumn("_part", F.shiftright("_id", 33).cast("int")).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n")).collect()  # one row per partition
     before, total = {}, 0
     for r in sorted(sizes, key=lambda r: r["_part"]):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
-from webloom.functions.fingerprint import fingerprint
+from webloom.functions.fingerprint import with_fingerprint
 
 
 def file_path(url: Column) -> Column:
@@ -29,7 +29,7 @@ def up_to_date(stored_at: Column, now: float, days: int = 90) -> Column:
 
 def downloads(items: DataFrame, field: str = "file_urls") -> DataFrame:
     """``fp, url, path`` of every medium to fetch, once per fingerprint whatever the number of items that want it."""
-    each = items.select(F.explode(field).alias("url")).filter("url is not null").withColumn("fp", fingerprint(F.col("url"))).filter("fp is not null")
+    each = with_fingerprint(items.select(F.explode(field).alias("url")).filter("url is not null")).filter("fp is not null")
     return each.groupBy("fp").agg(F.min("url").alias("url")).withColumn("path", file_path(F.col("url")))
 
 
@@ -38,7 +38,7 @@ def completed(items: DataFrame, fetched: DataFrame, item_id: str = "item_id", fi
 
     ``fetched``: fp, path, checksum, status. Media that failed (no row) are left out, as are null addresses.
     """
-    each = items.select(item_id, F.posexplode(field).alias("pos", "url")).filter("url is not null").withColumn("fp", fingerprint(F.col("url")))
+    each = with_fingerprint(items.select(item_id, F.posexplode(field).alias("pos", "url")).filter("url is not null"))
     got = each.join(fetched.select("fp", "path", "checksum", "status"), "fp")
     back = got.groupBy(item_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url", "path", "checksum", "status"))), lambda x: F.struct(x["url"].alias("url"), x["path"].alias("path"), x["checksum"].alias("checksum"), x["status"].alias("status"))).alias(result))
     empty = F.array().cast(back.schema[result].dataType)

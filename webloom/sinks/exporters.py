@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from webloom.runtime import materialize
+
 # --- projection and values ---------------------------------------------------------------------------
 
 
@@ -101,7 +103,8 @@ def batches(items: DataFrame, size: int, order: list[str]) -> DataFrame:
         return items.withColumn("batch_id", F.lit(1).cast("long"))
     n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in order]
-    p = items.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    # written once: sampled ranges may fall elsewhere in a second run
+    p = materialize(items.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "batches")
     p = p.withColumn("_p", F.shiftright("_id", 33).cast("int")).withColumn("_a", F.col("_id").bitwiseAND((1 << 33) - 1))
     before, total = {}, 0
     for r in sorted(p.groupBy("_p").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_p"]):

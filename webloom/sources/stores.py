@@ -14,9 +14,9 @@ def requests(queue: DataFrame) -> DataFrame:
     A priority is any integer text, with sign and blanks around it; beyond 38 digits, or no integer, it is
     null. A payload that is no JSON gives null fields.
     """
-    p = F.from_json(F.col("payload").cast("string"), REQUEST)
+    p = F.col("_p")
     number = F.regexp_extract(F.coalesce("priority", F.lit("")), r"^\s*([+-]?\d+)\s*$", 1)
-    return queue.select(
+    return queue.withColumn("_p", F.from_json(F.col("payload").cast("string"), REQUEST)).select(
         "request_id", F.col("sequence").alias("seq"), F.when(number != "", number.try_cast("decimal(38,0)")).alias("priority"),
         (F.coalesce("is_start", F.lit(0)) != 0).alias("is_start"), p["url"].alias("url"), F.upper(p["method"]).alias("method"), p["body"].alias("body"), F.coalesce(p["meta"]["depth"], F.lit(0)).alias("depth"), p["callback"].alias("callback"),
     )

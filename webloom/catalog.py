@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from webloom.functions import urls
 from webloom.functions.fingerprint import with_fingerprint
@@ -597,7 +596,7 @@ def media_items(spark, d):
 
 # --- streams ------------------------------------------------------------------------------------------------------------------------------
 
-_EVENTS = T.StructType.fromDDL("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def _stream(spark, d):

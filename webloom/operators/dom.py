@@ -192,10 +192,11 @@ def css(dom: DataFrame, selector: str, under: DataFrame | None = None) -> DataFr
     With ``::text`` or ``::attr(name)`` at the end a column ``value`` holds the text nodes of the element
     (joined) or the attribute; elements without are left out.
     """
-    m = re.fullmatch(r"(.*?)(::text|::attr\(\s*([\w:-]+)\s*\))?\s*", selector, re.S)
-    found = None
-    for one in re.split(r",(?![^\[(]*[\])])", m[1]):
-        cur = under
+    found, m = None, None
+    parts = re.split(r",(?![^\[(]*[\])])", selector)
+    for part in parts:
+        m = re.fullmatch(r"\s*(.*?)(::text|::attr\(\s*([\w:-]+)\s*\))?\s*", part, re.S)
+        one, cur = m[1], under
         for comb, compound in _split(one):
             step = dom.filter(_compound(compound))
             if cur is None:
@@ -211,7 +212,7 @@ def css(dom: DataFrame, selector: str, under: DataFrame | None = None) -> DataFr
                 up = cur.select(F.col("page_id").alias("_p"), F.col("pre").alias("_pre"), F.col("post").alias("_post")).distinct()
                 cur = step.join(up, (F.col("page_id") == F.col("_p")) & (F.col("pre") > F.col("_pre")) & (F.col("pre") <= F.col("_post")), "left_semi")
         found = cur if found is None else found.unionByName(cur)
-    if "," in m[1]:
+    if len(parts) > 1:
         found = found.dropDuplicates(["page_id", "node"])
     if m[3]:
         found = found.withColumn("value", F.element_at("attrs", m[3].lower())).filter("value is not null")

@@ -34,12 +34,17 @@ def compose(*fs: Processor) -> Processor:
     return run
 
 
+def _unary(f: Processor) -> Processor:
+    """``f`` with one parameter: functions with optional ones would get the index as well."""
+    return lambda x: f(x)
+
+
 def map_compose(*fs: Processor) -> Processor:
     """Functions of each value one after the other; nulls drop out between them."""
 
     def run(v: Column) -> Column:
         for f in fs:
-            v = F.filter(F.transform(v, f), lambda x: x.isNotNull())
+            v = F.filter(F.transform(v, _unary(f)), lambda x: x.isNotNull())
         return v
 
     return run

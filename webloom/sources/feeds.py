@@ -280,11 +280,15 @@ def parse_curl(command: str) -> dict | None:
     return out
 
 
-@F.pandas_udf("struct<url:string,method:string,headers:map<string,string>,body:string,cookies:map<string,string>>")
-def curl_request(commands: pd.Series) -> pd.DataFrame:
+def curl_request(command: Column) -> Column:
     """Struct of the request of each curl command; fields are null where it cannot be read."""
-    empty = {"url": None, "method": None, "headers": None, "body": None, "cookies": None}
-    return pd.DataFrame([(parse_curl(c) if c is not None else None) or empty for c in commands], columns=list(empty))
+
+    @F.pandas_udf("struct<url:string,method:string,headers:map<string,string>,body:string,cookies:map<string,string>>")
+    def run(commands: pd.Series) -> pd.DataFrame:
+        empty = {"url": None, "method": None, "headers": None, "body": None, "cookies": None}
+        return pd.DataFrame([(parse_curl(c) if c is not None else None) or empty for c in commands], columns=list(empty))
+
+    return run(command)
 
 
 def compress(data: bytes, codec: str) -> bytes:

@@ -192,7 +192,7 @@ def _steps(text: str):
     points = {ord(c) for c in text if c >= "\x80"}
     for swap in _SWAPS:
         if points <= swap.keys():
-            yield text.translate(swap), 1.0
+            yield text.translate(swap), 0.6
 
 
 def search(token: str, limit: int = 24, depth: int = 4, slack: float = 1.0) -> tuple[str, float, float]:
@@ -258,13 +258,22 @@ def garbled_tokens(text: str) -> dict[str, str]:
     """Garbled tokens of a text and their originals."""
     if text.isascii() and "&" not in text:
         return {}
-    out = {}
+    out, rest = {}, []
     refers = "&" in text and _REFERRING.search(text) is not None
     for token in set(_BREAK.split(strip_quoted_code(text))):
         if token.isascii() and not (refers and "&" in token and _REFERRING.search(token)):
             continue
         if (r := repair(token)) is not None:
             out[token] = r
+        else:
+            rest.append(token)
+    if any(_CYRILLIC.search(t) and _CYRILLIC.search(r) and "�" not in t for t, r in out.items()):
+        # one Cyrillic charset was taken for another: short words give no proof of their own, but follow
+        for token in rest:
+            if _CYRILLIC.search(token):
+                text_, c, start = search(token)
+                if c < start and _CYRILLIC.search(text_):
+                    out[token] = text_
     return out
 
 

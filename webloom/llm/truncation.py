@@ -240,10 +240,18 @@ def truncated(docs: DataFrame, id_column: str = "doc_id", known: float = 0.12, u
     at_limit = at_limit.select("source", "h").distinct().withColumn("limited", F.lit(True))
 
     size = looked.groupBy("source").agg(F.count("*").alias("size"))
-    final = open_.select("source", "raw_before", "final", "word", "h").distinct().groupBy("source", "raw_before", "final").agg(F.count("*").alias("finals"))
-    goes_on = places.filter("kind = 'r'").select("source", F.col("before").alias("raw_before"), F.col("word").alias("final"), (F.col("n") - F.col("ends")).alias("on"))
-    final = final.join(size, "source").join(goes_on, ["source", "raw_before", "final"], "left")
-    final = final.filter((F.col("finals") >= F.greatest(F.lit(4), F.col("size") * custom)) & (F.col("finals") * 2 >= F.coalesce("on", F.lit(0))))
+    # texts at a limit are cut, whatever they end with
+    free = open_.join(at_limit, ["source", "h"], "left_anti").select("source", "raw_before", "final", "before", "word", "mark", "h").distinct()
+    final = free.groupBy("source", "raw_before", "final", "before", "word", "mark").agg(F.count("*").alias("finals"))
+    on = (F.col("n") - F.col("ends")).alias("on")
+    named_on = places.filter("kind = 'r'").select("source", F.col("before").alias("raw_before"), F.col("word").alias("final"), on)
+    plain_on = places.filter("kind = '2'").select("source", "before", "word", (F.col("n") - F.col("ends")).alias("on2"))
+    known_word = places.filter("kind = '1'").select("source", "word", F.lit(True).alias("known"))
+    final = final.join(size, "source").join(named_on, ["source", "raw_before", "final"], "left").join(plain_on, ["source", "before", "word"], "left").join(known_word, ["source", "word"], "left")
+    # a word seen nowhere else, without a mark, may be one half: only a strong custom counts
+    times = F.when(F.coalesce("known", F.lit(False)) | (F.col("mark") != "") | F.col("final").isin(*_KINDS), 1).otherwise(10)
+    goes_on = F.when(F.col("final").isin(*_KINDS), F.coalesce("on", F.lit(0))).otherwise(F.coalesce("on2", F.lit(0)))
+    final = final.filter((F.col("finals") >= F.greatest(F.lit(4), F.col("size") * custom * times)) & (F.col("finals") * 2 >= goes_on))
     final = _for_null(final.select("source", "raw_before", "final")).distinct().withColumn("usual", F.lit(True))
 
     def part(kind, *keys, n, e):

@@ -5,10 +5,10 @@ and after entity escaping, JSON escaping and newline conversion. Texts are count
 length; a length that far more different texts have than its neighbours, most of them without an end, is
 a limit. Where several measures explain the same texts, the strongest keeps them.
 
-Endings: over the whole corpus, every place between two words is counted as an end (of a line or
-sentence) or not, by source and the last one or two words (numbers and names by shape). A text whose last
-words hardly ever end anything was cut; so was one that stops in a word seen nowhere else, in an open
-code block, or, without an end, exactly at a limit of its source. A mark put after a cut ("...") is taken
+Endings: over the whole corpus, every place between two words is counted, by source and the last one or two
+words (numbers and names by shape), as the end of an open line (one without a full stop) or not. A text
+without an end whose last words hardly ever close such lines was cut; so was one that stops in a word seen
+nowhere else, in an open code block, or exactly at a limit of its source. A mark put after a cut ("...") is taken
 off first; where words often end with such a mark inside texts, it was put on purpose.
 """
 
@@ -132,10 +132,10 @@ def _before(lines: list[str], tokens: list[str]) -> str:
 
 
 def _places(text: str, counts: Counter, source: str) -> None:
-    """Counts the places after each word of ``text`` but the last.
+    """Counts the places after each word of ``text`` but the last, and how many of them end a line without a full stop.
 
     Keys are (source, table, before, word): table 2 by the last two words, 1 by the last word, r by the raw
-    word before a name or number, n by a name itself, m by a word with a mark of omission.
+    word before a name or number, m by a word with a mark of omission.
     """
     lines = [x for x in text.split("\n") if x.strip()]
     raw = "\n"
@@ -147,13 +147,11 @@ def _places(text: str, counts: Counter, source: str) -> None:
             if last and n == len(lines) - 1:
                 break
             shape = _shape(w)
-            end = last or _closes(w) or units[k + 1] in ("。", "！", "？")
+            end = last and not _closes(w)
             counts[source, "2", before, shape, end] += 1
             counts[source, "1", "", shape, end] += 1
             if shape in _KINDS:
                 counts[source, "r", raw, shape, end] += 1
-                if shape == "X":
-                    counts[source, "n", "", _bare(w), end] += 1
             if _mark(w):
                 counts[source, "m", "", shape, True] += 1
             before = "^" if _closes(w) else shape
@@ -217,15 +215,16 @@ def _for_null(by_source: DataFrame) -> DataFrame:
     return by_source.filter("source <> ''").unionByName(by_source.withColumn("source", F.lit("")))
 
 
-def truncated(docs: DataFrame, id_column: str = "doc_id", known: float = 0.12, unknown: float = 0.4, seen: int = 3, custom: float = 0.0005) -> DataFrame:
+def truncated(docs: DataFrame, id_column: str = "doc_id", least_lift: float = 0.25, seen: int = 6, custom: float = 0.0005) -> DataFrame:
     """``doc_id, source, reason`` of the texts that were cut, one row per row of ``docs``.
 
     ``docs``: id, text, source. Spellings of a source are one source; a null source is one of its own, judged by what all sources together show.
     Null, empty and blank texts are complete. Repeated texts and ids each count. Extra columns are ignored.
     ``reason``: 'limit' (no end, at a storage limit), 'code' (open code block), 'mark' (a mark of omission after
-    words that carry none inside texts), 'word' (stops in a word seen nowhere else) or 'ending' (stops after
-    words that end less than ``known`` of the time; ``unknown`` for a name seen nowhere else). What at least
-    ``custom`` of a source's different texts end with, and hardly ever go on after, is the custom of the source.
+    words that carry none inside texts), 'word' (stops in a word seen nowhere else) or 'ending' (stops after words
+    that hardly ever end an open line of the source: their share of such line ends is under ``least_lift`` of their
+    share of all places). What at least ``custom`` of a source's different texts end with, and hardly ever go on
+    after, is the custom of the source.
     """
     named = docs.select(F.col(id_column).alias("row"), F.coalesce(canonical_source(F.col("source")), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     named = named.filter("text is not null and trim(text) <> ''")
@@ -263,24 +262,22 @@ def truncated(docs: DataFrame, id_column: str = "doc_id", known: float = 0.12, u
         .join(part("1", "word", n="n1", e="e1"), ["source", "word"], "left")
         .join(places.filter("kind = '1'").groupBy("word").agg(F.sum("n").alias("na"), F.sum("ends").alias("ea")), "word", "left")
         .join(part("m", "word", n="nm", e="em"), ["source", "word"], "left")
-        .join(part("n", F.col("word").alias("name"), n="n0", e="e0"), ["source", "name"], "left")
+        .join(places.filter("kind = '1'").groupBy("source").agg(F.sum("n").alias("places"), F.sum("ends").alias("open_lines")), "source", "left")
         .join(final, ["source", "raw_before", "final"], "left")
         .join(at_limit, ["source", "h"], "left")
     )
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    is_name = F.col("word") == "X"
-    share = (
-        F.when(n("n2") >= seen, n("e2") / F.col("n2"))
-        .when(n("n1") >= seen, n("e1") / F.col("n1"))
-        .when(n("na") >= seen, n("ea") / F.col("na"))
-    )
+    # how much likelier an open line of the source ends after these words than any place of it is after them
+    rate = F.coalesce(F.col("open_lines") / F.col("places"), F.lit(0.0))
+    lift = lambda e, k: (n(e) + rate / 2) / (F.col(k) + 0.5) / F.greatest(rate, F.lit(1e-9))
+    share = F.when(rate == 0, F.when(n("n1") + n("na") > 0, 0.0)).when(n("n2") >= seen, lift("e2", "n2")).when(n("n1") >= seen, lift("e1", "n1")).when(n("na") > 0, F.when(n("ea") > 0, 1.0).otherwise(0.0))
     reason = (
         F.when(F.coalesce("usual", F.lit(False)), None)
         .when(F.coalesce("limited", F.lit(False)), "limit")
         .when(F.col("in_code"), "code")
         .when(F.col("mark") != "", F.when(n("nm") < 2, "mark"))
         .when(share.isNull(), "word")
-        .when(share < F.when(is_name & (n("n0") == 0), unknown).otherwise(known), "ending")
+        .when(share < least_lift, "ending")
     )
     out = j.select(F.col("row").alias(id_column), F.when(F.col("source") != "", F.col("source")).alias("source"), reason.alias("reason"))
     return out.filter("reason is not null")

@@ -221,7 +221,7 @@ def css(dom: DataFrame, selector: str, under: DataFrame | None = None) -> DataFr
     return found
 
 
-_XSTEP = re.compile(r"(//|/)(?:(?P<axis>descendant-or-self|descendant|child|self)::)?(?P<name>[\w-]+|\*|@[\w:-]+|text\(\)|\.)(?P<preds>(?:\[[^\[\]]*\])*)")
+_XSTEP = re.compile(r"(//|/)(?:(?P<axis>descendant-or-self|descendant|child|self)::)?(?P<name>text\(\)|@[\w:-]+|[\w-]+|\*)(?P<preds>(?:\[[^\[\]]*\])*)")
 
 
 def xpath(dom: DataFrame, query: str, under: DataFrame | None = None) -> DataFrame:

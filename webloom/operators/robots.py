@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from webloom.functions import urls
+from webloom.runtime import materialize
 
 
 def product_token(agent: Column) -> Column:
@@ -61,7 +62,8 @@ def check(requests: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
 
     No file, no fitting group or no matching rule allow; so do addresses that are not http(s).
     """
-    t = requests.withColumn("_id", F.monotonically_increasing_id()).withColumn("_o", urls.origin(F.col("url")))
+    # the row ids are used twice, so they are written once
+    t = materialize(requests.withColumn("_id", F.monotonically_increasing_id()), "robots").withColumn("_o", urls.origin(F.col("url")))
     target = F.concat(F.when(urls.path(F.col("url")) == "", "/").otherwise(urls.path(F.col("url"))), F.regexp_extract(urls.clean(F.col("url")), r"(\?[^#]*)", 1))
     hit = t.select("_id", "_o", target.alias("_t")).join(rules(robots, agent), F.col("_o") == F.col("origin")).filter(F.expr("_t rlike regex"))
     verdict = hit.groupBy("_id").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("b")).select("_id", F.col("b.allow").alias("_allow"))

@@ -133,7 +133,8 @@ def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TO
     put back in order within a row key made before exploding, so repeated ``doc_id`` stay apart and no
     shuffle follows the explode. Empty and null lists give an empty text; an unknown id raises.
     """
-    keyed = encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
+    # written once, so that a recomputed task finds the same row keys
+    keyed = materialize(encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("row")), "ids")
     keyed = keyed.repartition(shuffle_width(encoded.sparkSession), "row")
     each = keyed.select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
     table = pieces(encoded.sparkSession, tokenizer, folder).withColumnRenamed("id", "pid")

@@ -35,6 +35,16 @@ def test_other_misreadings():
     assert charset.garbled_tokens("fa��ade") == {"fa��ade": "fa��ade"}
 
 
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252", "cp1251", "koi8-r", "iso8859-5"])
+def test_blanks_that_are_bytes_of_misread_text(encoding):
+    for text in ("voilà là-bas", "Работа Россия хорошо их Конец"):
+        bad = "".join(charset._CHARS[encoding].get(b, chr(b)) for b in text.encode())
+        assert charset.restore(bad) == text
+    assert charset.garbled_tokens("voilÃ\xa0") == {"voilÃ\xa0": "voilà"} and charset.restore("Ã\xa0 la") == "à la" and charset.restore("10Â\xa0km") == "10\xa0km"
+    for text in ("AMANHÃ\xa0 DE", "À\xa0propos de l'été\xa0: «\xa0oui\xa0»", "В\xa0Москве и\xa0в\xa0этом\xa0году", "Größe\xa0und\xa0Maß"):
+        assert charset.garbled_tokens(text) == {}
+
+
 def test_quoted_samples_do_not_count(spark):
     rows = [(1, b"<p><code>caf\xc3\x83\xc2\xa9</code></p>"), (2, "text\n    cafÃ© → café\nmore".encode()), (3, "cafÃ©".encode()), (4, None), (5, b""), (6, ("x " * 200_000 + "cafÃ©").encode())]
     df = spark.createDataFrame(rows, "response_id long, body binary").withColumn("record_id", F.lit(9))

@@ -58,8 +58,25 @@ _SWAPS = [{p: _CHARS[was][b] for p, b in _BYTES[read].items()} for read, was in
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
-#: what separates tokens, and tokens of ASCII that stand for more
-_BREAK = re.compile(r"[\s<>\"\x1c-\x1f]+")
+
+
+def _kept_blanks() -> str:
+    """Pattern of U+00A0 and U+0085 where they stand for a continuation byte of a misread UTF-8 sequence; as a lead byte (Mac) they make no text."""
+    ways = []
+    for charset in _WIDE:
+        chars = lambda lo, hi: "".join(re.escape(_CHARS[charset][b]) for b in range(lo, hi))
+        c = f"[{chars(0x80, 0xC0)}]"
+        blanks = "".join(x for x in "\x85\xa0" if 0x80 <= _BYTES[charset].get(ord(x), 0) < 0xC0 and _CHARS[charset][_BYTES[charset][ord(x)]] == x)
+        if blanks:
+            for lead, size in ((f"[{chars(0xC2, 0xE0)}]", 1), (f"[{chars(0xE0, 0xF0)}]", 2), (f"[{chars(0xF0, 0xF5)}]", 3)):
+                ways += [f"(?<={lead}{c * n})[{blanks}](?={c * (size - n - 1)})" for n in range(size)]
+    return "|".join(ways)
+
+
+#: tokens: runs without blanks and marks of markup; a blank that is a byte of a misread character is none
+_PLAIN = re.compile(r"[^\s<>\"\x1c-\x1f]+")
+_TOKEN = re.compile(rf"(?:{_PLAIN.pattern}|{_kept_blanks()})+")
+#: tokens of ASCII that stand for more
 _REFERRING = re.compile(r"&(?:#\d|#[xX]|[A-Za-z]{2,8};[^\s<>\"]*&[A-Za-z#])")
 #: East Asian text with its own and ASCII marks: nothing a Western charset could have made
 _EAST = re.compile(r"[\x00-\x7f\u2010-\u2026\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef]*")
@@ -99,6 +116,7 @@ _SCRIPT = {"l": 1, "u": 1, "c": 2, "C": 2, "g": 3, "j": 4, "o": 5}
 _RARE = {k: 0.3 * max(0.0, math.log2(6 / f)) for k, f in _RUSSIAN.items()}
 _VOWELS = frozenset("аеёиоуыэюяАЕЁИОУЫЭЮЯ")
 _INSIDE = frozenset("’‘·-'‐‑")  # may stand between letters
+_ALONE = frozenset("ÂÃÐÑ")  # no words by themselves, but what a misread 'à' leaves before U+00A0
 
 
 def cost(text: str) -> float:
@@ -130,6 +148,8 @@ def cost(text: str) -> float:
                     total += 0.6
                 if ch in "€™©®¡¿ªº½¼¾×°£§" and before in "luC":
                     total += 2
+                if ch == "\xa0" and prev in _ALONE and (n < 2 or (_kinds.get(text[n - 2]) or _kind(ord(text[n - 2]))) not in _LETTERS):
+                    total += 2
             elif k in "cC":
                 total += _RARE.get(ch.lower(), 2.5) + 0.1
             elif k == "j":
@@ -260,7 +280,7 @@ def garbled_tokens(text: str) -> dict[str, str]:
         return {}
     out, rest = {}, []
     refers = "&" in text and _REFERRING.search(text) is not None
-    for token in set(_BREAK.split(strip_quoted_code(text))):
+    for token in set((_TOKEN if "\xa0" in text or "\x85" in text else _PLAIN).findall(strip_quoted_code(text))):
         if token.isascii() and not (refers and "&" in token and _REFERRING.search(token)):
             continue
         if (r := repair(token)) is not None:
@@ -284,8 +304,7 @@ def restore(text: str) -> str:
         return text
     keep = _CODE if text.lstrip()[:1] == "<" else _INDENTED
     out, at = [], 0
-    any_bad = re.compile("|".join(r"(?<![^\s<>\"\x1c-\x1f])" + re.escape(t) + r"(?![^\s<>\"\x1c-\x1f])" for t in sorted(bad, key=len, reverse=True)))
-    swap = lambda s: any_bad.sub(lambda m: bad[m[0]], s)
+    swap = lambda s: _TOKEN.sub(lambda m: bad.get(m[0], m[0]), s)
     for m in keep.finditer(text):
         out += [swap(text[at : m.start()]), m[0]]
         at = m.end()

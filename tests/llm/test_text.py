@@ -137,3 +137,34 @@ def test_limits_name_the_measure(spark):
         rows.append(("s", t, False))
     got = truncation.storage_limits(spark.createDataFrame(rows, "source string, text string, ended boolean")).collect()
     assert [(r.measure, r.length) for r in got][:1] == [("json_chars", 256)]
+
+
+def test_limit_and_open_code_come_before_customary_endings(spark):
+    rng = random.Random(6)
+    sentence = lambda: f"The {rng.choice(['mill', 'harbour', 'kiln', 'orchard'])} {rng.choice(['keeps', 'feeds', 'holds'])} the {rng.choice(['jars', 'nets', 'lamp oil'])}."
+    docs = []
+    for i in range(400):
+        text = " ".join(sentence() for _ in range(rng.randrange(5, 18)))
+        if i % 4 == 0:
+            text += f"\n\nPhoto: Name{i}"  # the custom of the source
+        elif i % 4 == 1:
+            text = (" ".join([text] * 3))[:585] + "\n\nPhoto: Name"  # the same words, but cut there
+            text += "x" * (600 - len(text))
+        docs.append((i, text, "s"))
+    docs.append((1000, "code:\n```\nyield x\n\nPhoto: Name7", "s"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.doc_id: r.reason for r in truncation.truncated(df).collect()}
+    assert got.pop(1000) == "code"
+    assert got == {i: "limit" for i, t, _ in docs if len(t) == 600}
+
+
+def test_limits_of_short_texts(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(600):
+        t = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(4, 20)))
+        rows.append(("cut", t[:60], False))
+        rows.append(("form", f"Photo: Name{i:03}", False))  # one length by its form
+        rows.append(("crowd", t[: max(8, round(rng.gauss(30, 2)))], False))  # many near one length
+    got = truncation.storage_limits(spark.createDataFrame(rows, "source string, text string, ended boolean")).collect()
+    assert [(r.source, r.measure, r.length) for r in got] == [("cut", "raw_chars", 60)]

@@ -53,19 +53,28 @@ def lengths(text: Column) -> Column:
     return F.array(*[F.struct(F.lit(f"{k}_{u}").alias("measure"), (n + x).cast("int").alias("length")) for k, x in extra.items() for u, n in base.items()])
 
 
-def storage_limits(docs: DataFrame, least: int = 6, times: float = 5.0, around: int = 12, shortest: int = 100) -> DataFrame:
+def storage_limits(docs: DataFrame, least: int = 6, times: float = 5.0, around: int = 12, short: int = 100) -> DataFrame:
     """``source, measure, length, texts``: lengths at which a source's texts pile up without an end.
 
     A limit has at least ``least`` different texts, ``times`` the mean of the ``around`` lengths on either
-    side, and no proper end in more than half of them. ``docs``: source (canonical), text, ended.
+    side, and no proper end in more than half of them. Short texts crowd at a few lengths by themselves, and those
+    of one form have one length; so a limit of at most ``short`` also has three times the texts of each of the two lengths on
+    either side, and most of its texts stop at different places of their last words: no length of the last word has more than half of them.
+    ``docs``: source (canonical), text, ended.
     """
-    one = docs.filter(F.length("text") > shortest).select("source", "ended", F.xxhash64("text").alias("h"), lengths(F.col("text")).alias("m"))
+    last = F.least(F.length(F.regexp_extract("text", r"(\S*)\s*\z", 1)), F.lit(63))
+    one = docs.filter(F.length("text") > 0).select("source", "ended", last.alias("last"), F.xxhash64("text").alias("h"), lengths(F.col("text")).alias("m"))
     one = one.dropDuplicates(["source", "h"])  # repeated texts are one piece of evidence
-    each = one.select("source", "h", "ended", F.inline("m"))
+    each = one.select("source", "h", "ended", "last", F.inline("m"))
+    same = each.filter(F.col("length") <= short).groupBy("source", "measure", "length", "last").agg(F.count("*").alias("same"))
+    same = same.groupBy("source", "measure", "length").agg(F.max("same").alias("same"))
     by = each.groupBy("source", "measure", "length").agg(F.count("*").alias("n"), F.sum((~F.col("ended")).cast("long")).alias("open"))
     # neighbours without a window: every length tells the lengths around it
-    near = by.select("source", "measure", F.explode(F.sequence(F.col("length") - around, F.col("length") + around)).alias("length"), "n").groupBy("source", "measure", "length").agg(F.sum("n").alias("all"))
-    peak = by.filter((F.col("n") >= least) & (F.col("open") * 2 > F.col("n"))).join(near, ["source", "measure", "length"])
+    near = by.select("source", "measure", F.col("length").alias("at"), F.explode(F.sequence(F.col("length") - around, F.col("length") + around)).alias("length"), "n")
+    beside = F.when(F.abs(F.col("length") - F.col("at")).between(1, 2), F.col("n"))
+    near = near.groupBy("source", "measure", "length").agg(F.sum("n").alias("all"), F.coalesce(F.max(beside), F.lit(0)).alias("beside"))
+    peak = by.filter((F.col("n") >= least) & (F.col("open") * 2 > F.col("n"))).join(near, ["source", "measure", "length"]).join(same, ["source", "measure", "length"], "left")
+    peak = peak.filter((F.col("length") > short) | ((F.col("n") >= 3 * F.col("beside")) & (F.col("same") * 2 <= F.col("n"))))
     peak = peak.filter(F.col("n") >= times * ((F.col("all") - F.col("n")) / (2 * around) + 0.5)).select("source", "measure", "length", "n")
     peak = materialize(peak, "peaks")  # a few rows per source; its written size decides how it is joined
     rank = F.struct(F.col("n"), F.col("measure").startswith("raw_").alias("raw"), F.col("measure").endswith("_chars").alias("chars"), "measure", "length")
@@ -272,9 +281,9 @@ def truncated(docs: DataFrame, id_column: str = "doc_id", least_lift: float = 0.
     lift = lambda e, k: (n(e) + rate / 2) / (F.col(k) + 0.5) / F.greatest(rate, F.lit(1e-9))
     share = F.when(rate == 0, F.when(n("n1") + n("na") > 0, 0.0)).when(n("n2") >= seen, lift("e2", "n2")).when(n("n1") >= seen, lift("e1", "n1")).when(n("na") > 0, F.when(n("ea") > 0, 1.0).otherwise(0.0))
     reason = (
-        F.when(F.coalesce("usual", F.lit(False)), None)
-        .when(F.coalesce("limited", F.lit(False)), "limit")
+        F.when(F.coalesce("limited", F.lit(False)), "limit")
         .when(F.col("in_code"), "code")
+        .when(F.coalesce("usual", F.lit(False)), None)
         .when(F.col("mark") != "", F.when(n("nm") < 2, "mark"))
         .when(share.isNull(), "word")
         .when(share < least_lift, "ending")

@@ -1,5 +1,6 @@
 """Seen keys, near duplicates, tokens and mixing against brute force on small inputs."""
 
+import inspect
 import itertools
 import random
 
@@ -100,6 +101,22 @@ def test_bands():
     assert 1 - (1 - 0.6**4) ** b >= 0.99 > 1 - (1 - 0.6**4) ** (b - 1)
 
 
+def test_weakest_pairs_meet_at_the_target_recall():
+    how = {k: p.default for k, p in inspect.signature(nd.NearDuplicates.__init__).parameters.items() if k in ("recall", "rare_share", "rare_rows", "full_rows")}
+    assert how["recall"] >= 0.999
+    rng = np.random.default_rng(8)
+    for family, (weakest, (bands, rows)) in enumerate(zip((0.5, 0.6), nd.families(0.6, **how))):
+        assert 1 - (1 - weakest**rows) ** bands >= 0.999
+        a, b = nd._coefficients(bands * rows, 11 + 2 * family)
+        lost = 0
+        for _ in range(1000):
+            g = np.unique(rng.integers(0, 2**32, 150, dtype=np.uint64).astype(np.uint32))
+            alone = round(len(g) * (1 - weakest) / 2)
+            x, y = (nd._band_keys(nd._minima(s, a, b), rows, family) for s in (g[alone:], g[: len(g) - alone]))
+            lost += not (x == y).any()
+        assert lost <= 6  # 1 expected, 50 at a recall of 0.95
+
+
 TEXTS = ["", None, "  ", "Hello, world's  end!\n\n  x", "é日本語 ½ <|endoftext|>", "a" * 5000, "it's 'tis 12345 \t\r\n ", "🙂🙂 zero​width", "Hello, world's  end!\n\n  x"]
 
 

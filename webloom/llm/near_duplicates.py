@@ -10,7 +10,8 @@
    boilerplate do not meet, however large the site. Documents whose rare share is under ``rare_share``
    also join family 1, over all triples with longer bands. Any pair at the limit in which one side has
    that rare share keeps a rare-set similarity of (limit - c) / (1 - c) with c = 1 - rare_share; any
-   other pair meets in family 1 at its full similarity. Bands and rows are chosen for the target recall.
+   other pair meets in family 1 at its full similarity. The bands of both families are chosen for the
+   target recall at those similarities. Band keys have 40 bits: a wrong meeting costs a candidate, no result.
 4. Pairs of one band hash are dropped at once if 256 one-bit minima (a fixed 32 bytes a document) put
    them far below the limit, made distinct, and verified on the whole triple sets.
 5. Verified pairs of representatives and the members of the classes give the result: every pair if asked
@@ -45,6 +46,12 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
+def families(similarity: float, recall: float, rare_share: float, rare_rows: int, full_rows: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """(bands, rows) over the rare and over all triples; each finds its weakest pairs at the limit with the target recall."""
+    c = 1 - rare_share
+    return (bands_for((similarity - c) / (1 - c), rare_rows, recall), rare_rows), (bands_for(similarity, full_rows, recall), full_rows)
+
+
 def words_of_page(body: bytes) -> list[str]:
     """Words of a page without scripts, styles, comments and tags, in lower case."""
     t = _MARKUP.sub(" ", body.decode("utf-8", "replace")).lower()
@@ -158,7 +165,7 @@ def _band_keys(minima: np.ndarray, rows: int, family: int) -> np.ndarray:
     for j in range(rows):
         k = (k ^ m[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
         k ^= k >> np.uint64(31)
-    return k.view(np.int64)
+    return (k >> np.uint64(24)).view(np.int64)
 
 
 def _signatures(table, rare_share: float, rare: tuple[int, int], full: tuple[int, int]):
@@ -218,7 +225,7 @@ class NearDuplicates:
 
     def __init__(
         self, texts: DataFrame, similarity: float, gram: int, is_page: bool,
-        recall: float = 0.995, common_share: float = 0.001, rare_share: float = 0.8, rare_rows: int = 4, full_rows: int = 5,
+        recall: float = 0.999, common_share: float = 0.001, rare_share: float = 0.8, rare_rows: int = 4, full_rows: int = 5,
     ):
         """``texts``: id long, text (binary for pages, string otherwise); rows with null id or text or fewer words than a gram have no partner."""
         spark = texts.sparkSession
@@ -231,9 +238,7 @@ class NearDuplicates:
         own = sets.join(copies, "id", "left_anti").select("id", "grams")
         docs = own.count()
         table = spark.sparkContext.broadcast(common_grams(own, max(8.0, common_share * docs)))  # 512 KB
-        c = 1 - rare_share
-        rare = (bands_for((similarity - c) / (1 - c), rare_rows, 0.95), rare_rows)
-        full = (bands_for(similarity, full_rows, recall), full_rows)
+        rare, full = families(similarity, recall, rare_share, rare_rows, full_rows)
         signed = materialize(own.mapInArrow(_signatures(table, rare_share, rare, full), "id long, bands array<long>, sketch binary"), "signatures")
         # one exchange serves both sides of the self-join
         band = signed.select("id", F.explode("bands").alias("band")).repartition(shuffle_width(spark), "band")

@@ -3,10 +3,12 @@
 import json
 import lzma
 import os
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
+from webloom import catalog
 from webloom.operators import cookies, crawl, dom, frontier, heavy_keys, links, loader, media, policies, robots, stats, throttle
 from webloom.plans import chain
 from webloom.sinks import exporters
@@ -254,3 +256,33 @@ def test_stream_throttle_equals_batch(spark, tmp_path):
     st = ops.throttle(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 0.2, 0.1, 2.0, 2.0)
     got = ops.drain(st, "throttled", f"{tmp_path}/cp").select("slot", "delay")
     assert rows(got, "slot") == rows(throttle.auto_throttle(batch, 0.2, 0.1, 2.0, 2.0).select("slot", "delay"), "slot")
+
+
+def test_headlines_of_all_pages(spark, tmp_path):
+    html = ["<h1>Plain</h1>", "<h1>Salt &amp; <b>bold</b> pepper</h1>", "<div><h1 class='a'>One</h1></div><h1>Two &lt;x&gt;</h1>", "<p>none</p>", "<h1></h1>"]
+
+    class Brute(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append(tag)
+            self.out += [""] if tag == "h1" else []
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            if self.open[-1:] == ["h1"]:
+                self.out[-1] += data
+
+    want = []
+    for i, h in enumerate(html):
+        b = Brute()
+        b.feed(h)
+        want += [(i, t) for t in b.out if t]
+    rows = [(i, "http://a.test/", h.encode()) for i, h in enumerate(html)] + [(9, "http://a.test/", None)]
+    spark.createDataFrame(rows, "response_id long, url string, body binary").write.parquet(f"{tmp_path}/responses.parquet")
+    got = catalog.queries()["css_headlines_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.title) for r in got) == sorted(want) and len(want) == 4

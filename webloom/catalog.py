@@ -322,11 +322,17 @@ def link_rules(spark, d):
 
 @query(r"""SELECT response_id AS page_id, regexp_extract(decode(body), '(?s)<h1[^>]*>([^<&]*)</h1>', 1) AS title FROM responses WHERE regexp_matches(decode(body), '(?s)<h1[^>]*>[^<&]+</h1>') AND NOT regexp_matches(decode(body), '(?s)<h1[^>]*>.*<h1') AND body IS NOT NULL AND url IS NOT NULL""")
 def css_headlines(spark, d):
+    """Only the pages the SQL can speak of: one <h1>, without references and tags inside; ``css_headlines_all`` has every page."""
     pages = _pages(spark, d)
     plain = pages.filter(F.col("html").rlike(r"(?s)<h1[^>]*>[^<&]+</h1>") & ~F.col("html").rlike(r"(?s)<h1[^>]*>.*<h1"))
     return dom.css(dom.nodes(plain), "h1::text").select("page_id", F.col("value").alias("title"))
 
 
+@query()
+def css_headlines_all(spark, d):
+    return dom.css(dom.nodes(_pages(spark, d)), "h1::text").select("page_id", F.col("value").alias("title"))
+
+
 @query()
 def xpath_related(spark, d):
     return dom.collected(dom.xpath(dom.nodes(_pages(spark, d)), "//aside//a/@href"))

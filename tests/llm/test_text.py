@@ -77,6 +77,15 @@ def test_residue_cases(spark):
     assert residue.residue_pages(df.limit(0)).count() == 0
 
 
+def test_error_statuses_teach_wordings_in_no_phrase_list(spark):
+    base = table(spark, SF, "responses").select("response_id", "url", "status", "body")
+    body = lambda n: f"<html><body><h1>Nie znaleziono strony</h1><p>Przepraszamy, adres {n} wygasł. Wróć na stronę główną serwisu.</p></body></html>".encode()
+    sound = "<html><body><p>Between cove and jetty, Dartolpal counted 63 brittle barley stalls. Nobody borrowed the Zürich-style menu at Venor’s workshop since noon.</p></body></html>".encode()
+    rows = [(20_000 + n, f"http://h{n}.test/", 404, body(n)) for n in range(12)] + [(21_000, "http://h.test/", None, body(99)), (21_001, "http://s.test/", 404, sound)]
+    got = {r.response_id for r in residue.residue_pages(base.unionByName(spark.createDataFrame(rows, base.schema))).collect()}
+    assert {*range(20_000, 20_012), 21_000} <= got and 21_001 not in got
+
+
 def test_main_lines_on_unseen_hosts(spark):
     for r in boilerplate.validation(table(spark, SF, "responses")).collect():
         assert r.precision > 0.95 and r.recall > 0.95, r

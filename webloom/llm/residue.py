@@ -4,8 +4,9 @@ Two models, both fitted on a bounded sample of weakly labelled rows:
 
 * pages - words and word pairs of the text outside links, words of the title, length. Weak labels: texts
   dense with phrases of error pages, filler and script demands are positive, as are short texts stored
-  under an error status; the rest is negative. A phrase in a long article is no label, so articles that
-  speak of errors teach the model that such words alone mean little.
+  under an error status if a model fitted without them agrees (sound pages come under such statuses, too;
+  the others are left out); the rest is negative. A phrase in a long article is no label, so articles
+  that speak of errors teach the model that such words alone mean little.
 * expressions - runs like ``{{name}}`` or ``[Insert price here]``, described by the n-grams of their shape.
   Weak labels: the syntax of common template languages.
 
@@ -121,7 +122,7 @@ def page_features(page: Page) -> tuple[np.ndarray, np.ndarray, int, str]:
 
 
 def weak_label(status: int | None, words: int, text: str) -> int:
-    """1, 0, or -1 for rows without a label."""
+    """1, 0, or 2 for rows of which only the status speaks."""
     low = text.lower()
     hits = len(_FILLER.findall(low))
     if words < 160:
@@ -129,7 +130,7 @@ def weak_label(status: int | None, words: int, text: str) -> int:
     if hits and hits * 80 >= words:
         return 1
     if status is not None and status >= 400 and words < 60 and not hits:
-        return -1  # an error status over a short text without a phrase says too little either way
+        return 2
     return 0
 
 
@@ -143,7 +144,7 @@ def _sample(batches):
             if not n:
                 continue
             y = weak_label(status, n, text)
-            if y == 1 or (y == 0 and (n < 150 or key % 6 == 0)):
+            if y or n < 150 or key % 6 == 0:
                 rows.append((0, key, y, ids, values))
             for e in expressions(p)[:50]:
                 f = expression_features(e)
@@ -175,6 +176,30 @@ def _rows_of(t: pa.Table, keep: np.ndarray):
     return flat, vals, np.concatenate(([0], np.cumsum(lengths))), t.column("y").to_numpy().astype(float)
 
 
+def _part(ids, vals, offsets, y, keep: np.ndarray):
+    sizes = np.diff(offsets)
+    inside = np.repeat(keep, sizes)
+    return ids[inside], vals[inside], np.concatenate(([0], np.cumsum(sizes[keep]))), y[keep]
+
+
+def settled(ids, vals, offsets, y):
+    """The rows with the labels 2 settled: positive where a model fitted on the other half of them (as positives) and on all labelled rows agrees, else left out."""
+    unsure = np.flatnonzero(y == 2)
+    if not len(unsure):
+        return ids, vals, offsets, y
+    sums = np.add.reduceat(ids, offsets[:-1])
+    # rows of one wording are neighbours in this order, so each half can learn from the other
+    unsure = unsure[np.lexsort((sums[unsure], np.diff(offsets)[unsure]))]
+    label = np.where(y == 2, -1.0, y)
+    for mine in (unsure[::2], unsure[1::2]):
+        use = np.ones(len(y), bool)
+        use[mine] = False
+        w, bias = fit_logistic(*_part(ids, vals, offsets, np.minimum(y, 1), use), bits=BITS)
+        z = np.add.reduceat(w[ids] * vals, offsets[:-1]) + bias
+        label[mine[z[mine] > 0]] = 1
+    return _part(ids, vals, offsets, label, label >= 0)
+
+
 class ResidueModel:
     """Weights of the two classifiers."""
 
@@ -202,7 +227,7 @@ def fit(responses: DataFrame, most: int = 20_000, held_out: int = 0) -> tuple[Re
     kind, host = t.column("kind").to_numpy(), t.column("host_key").to_numpy()
     train = host % 5 >= held_out
     # float32 weights: a megabyte each on their way to the workers
-    pw, pb = fit_logistic(*_rows_of(t, train & (kind == 0)), bits=BITS)
+    pw, pb = fit_logistic(*settled(*_rows_of(t, train & (kind == 0))), bits=BITS)
     ew, eb = fit_logistic(*_rows_of(t, train & (kind == 1)), bits=BITS)
     if not len(t):
         pb = eb = -1.0
@@ -235,7 +260,7 @@ def validation(responses: DataFrame, most: int = 20_000) -> DataFrame:
     model, t = fit(responses, most, held_out=1)
     rows = []
     for k, name, w, bias in ((0, "pages", model.pages, model.page_bias), (1, "expressions", model.expr, model.expr_bias)):
-        keep = (t.column("kind").to_numpy() == k) & (t.column("host_key").to_numpy() % 5 == 0) & (t.column("y").to_numpy() >= 0)
+        keep = (t.column("kind").to_numpy() == k) & (t.column("host_key").to_numpy() % 5 == 0) & (t.column("y").to_numpy() < 2)
         ids, vals, offsets, y = _rows_of(t, keep)
         z = np.bincount(np.repeat(np.arange(len(y)), np.diff(offsets)), w[ids] * vals, len(y)) + bias
         hit = z > 0

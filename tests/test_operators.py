@@ -286,3 +286,12 @@ def test_headlines_of_all_pages(spark, tmp_path):
     spark.createDataFrame(rows, "response_id long, url string, body binary").write.parquet(f"{tmp_path}/responses.parquet")
     got = catalog.queries()["css_headlines_all"](spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.title) for r in got) == sorted(want) and len(want) == 4
+
+
+def test_crawl_says_when_requests_are_left(spark, tmp_path):
+    visit = lambda f: f.select((F.col("fp") + 1).alias("fp"), "seq", "url").filter("fp < 4")
+    first = spark.createDataFrame([(0, 1, "a")], "fp int, seq int, url string")
+    store = crawl.Checkpoint(spark, f"file://{tmp_path}/job")
+    with pytest.raises(RuntimeError, match="requests are left"):
+        crawl.crawl(first, visit, store, most_levels=2)
+    assert crawl.crawl(first, visit, store).count() == 4

@@ -16,7 +16,7 @@ from webloom.operators.frontier import keep_first
 from webloom.runtime import materialize
 
 
-def expand(start: DataFrame, edges: DataFrame, limit: int = 0, most_levels: int = 100) -> DataFrame:
+def expand(start: DataFrame, edges: DataFrame, limit: int = 0) -> DataFrame:
     """``node, depth`` of everything reachable from ``start`` (node) along ``edges`` (src, dst), at its least depth.
 
     ``limit`` bounds the depth (0: none). Null nodes are none.
@@ -24,9 +24,9 @@ def expand(start: DataFrame, edges: DataFrame, limit: int = 0, most_levels: int
     e = edges.filter("src is not null and dst is not null").select("src", "dst")
     level = materialize(start.filter("node is not null").select("node").distinct().withColumn("depth", F.lit(0)), "level")
     seen = level
-    for d in range(1, most_levels + 1):
-        if limit and d > limit:
-            break
+    d = 0
+    while not limit or d < limit:
+        d += 1
         nxt = level.join(e, level.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         level = materialize(nxt.withColumn("depth", F.lit(d)), "level")
         if level.isEmpty():
@@ -66,6 +66,7 @@ def crawl(start: DataFrame, visit: Callable[[DataFrame], DataFrame], store: Chec
 
     ``start`` and what ``visit`` gives for a frontier have fp, seq, url and further columns of one schema;
     ``admit`` filters new requests (policies). The crawl resumes after the last committed level of ``store``.
+    With requests left after ``most_levels`` levels it raises; a larger bound goes on from there.
     """
     done = store.committed()
     if not done:
@@ -86,4 +87,7 @@ def crawl(start: DataFrame, visit: Callable[[DataFrame], DataFrame], store: Chec
             break
         seen = seen.unionByName(nxt)
         level += 1
+    else:
+        if not (limit and level >= limit) and not store.read(level).isEmpty():
+            raise RuntimeError(f"requests are left after {most_levels} levels")
     return seen

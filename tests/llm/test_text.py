@@ -53,18 +53,31 @@ def test_quoted_samples_do_not_count(spark):
     assert charset.garbled(df.limit(0), "response_id", "body").count() == 0
 
 
-def test_page_parser():
+def test_leaf_blocks():
     p = parse("<html><head><title>A &amp; b</title><style>x{}</style></head><body>\n<!-- c\nd -->\n<div class=\"post big1\"><h1>H</h1>\n<p>one <a href='x'>two</a>\n</div>\n<pre><code>a < b</code></pre>\n")
-    assert p.title == "A & b" and [(x.n, x.text) for x in p.lines] == [(4, "H"), (5, "one two"), (7, "a < b")]
-    assert "post" in p.lines[0].around and p.lines[2].code and 0 < p.lines[1].linked < 1
-    assert [(x.n, x.code) for x in parse("a\n\n    b").lines] == [(1, False), (3, True)]
-    assert parse("").lines == [] and parse('{"a": 1}').kind == "json"
+    assert p.title == "A & b" and [(x.at, x.text) for x in p.blocks] == [((4,), "H"), ((5,), "one two"), ((7,), "a < b")]
+    assert "post" in p.blocks[0].around and p.blocks[2].code and p.blocks[2].bare == "" and 0 < p.blocks[1].linked < 1
+    assert [(x.at, x.code) for x in parse("a\n\n    b").blocks] == [((1,), False), ((3,), True)]
+    assert parse("").blocks == [] and parse('{"a": 1}').kind == "json"
+    one = parse("<body><nav><a>x</a> <a>y</a></nav><p>first<p>second <code>{{c}}</code> {{d}}<br>third<script>if (a < b) {}</script></body>")
+    assert [(x.at, x.text, x.bare) for x in one.blocks] == [((1,), "x y", "x y"), ((1,), "first", "first"), ((1,), "second {{c}} {{d}}", "second  {{d}}"), ((1,), "third", "third")]
+    assert [x.at for x in parse("<p>a\n&nbsp;\n<b>b</b>\nc</p>\n<p title='x\ny'>d</p>").blocks] == [((1, 3, 4)), (6,)]
+    assert [x.text for x in parse("<p>a <a title=\"it's>b</a> c<p>d").blocks] == ["a b c", "d"]
 
 
 def test_residue_on_unseen_hosts(spark):
     v = {r.classifier: r for r in residue.validation(table(spark, "/root/testdata/sf0.1", "responses"), most=6000).collect()}
     for name in ("pages", "expressions"):
         assert v[name].precision > 0.9 and v[name].recall > 0.9, v[name]
+    for name in ("pages unseen", "expressions unseen"):  # phrases and languages that labelled nothing
+        assert v[name].positives and v[name].recall > 0.6, v[name]
+
+
+def test_a_long_placeholder_is_found(spark):
+    base = table(spark, SF, "responses").select("response_id", "url", "status", "body")
+    good = "<html><body><p>" + "The mossy harbour near the old quay keeps jars. " * 40
+    rows = [(30_000, None, 200, (good + "{{ " + "customer." * 15 + "name }}</p>").encode())]
+    assert 30_000 in {r.response_id for r in residue.residue_pages(base.unionByName(spark.createDataFrame(rows, base.schema))).collect()}
 
 
 def test_residue_cases(spark):
@@ -100,6 +113,41 @@ def test_main_lines_cases(spark):
     assert boilerplate.main_lines(df.limit(0)).count() == 0
 
 
+def _one_line(body: str) -> bytes:
+    return body.replace("\n", " ").encode()
+
+
+def test_a_page_on_one_line_and_long_pages(spark, tmp_path):
+    base = table(spark, SF, "responses").select("response_id", "url", "status", "body")
+    model = boilerplate.fit(base)
+    article = "".join(f"<p>The mossy harbour near the old quay keeps {n} jars. Nobody painted them since noon.</p>\n" for n in range(700))
+    page = f"<html><body><nav><ul><li><a href='/'>Home</a></li>\n<li><a href='/s'>Search</a></li></ul></nav>\n<article><h1>Jars of the harbour</h1>\n{article}</article>\n<footer>© 2024 All rights reserved</footer></body></html>"
+    rows = [(1, None, 200, page.encode()), (2, None, 200, _one_line(page))]
+    df = spark.createDataFrame(rows, base.schema)
+    got = {}
+    for r in boilerplate.main_lines(df, model=model).collect():
+        got.setdefault(r.response_id, set()).add(r.line_no)
+    assert got[2] == {1} and got[1] >= set(range(3, 704)) and not got[1] & {1, 2, 704}
+    known = boilerplate._Features(boilerplate._sums(model.crf.w))
+    one = parse(_one_line(page).decode())
+    (labels,) = boilerplate.label_pages(model.crf, [one], known)
+    main = [x.text for x, y in zip(one.blocks, labels) if y]
+    assert len(main) == 701 and main[0] == "Jars of the harbour"  # parts of one line are told apart
+    # a long page teaches as well as a short one
+    crf = boilerplate.fit(df, residue_rows=1).crf
+    assert crf is not None and (crf.w != 0).any()
+    model.save(spark, str(tmp_path / "model"))
+    again = boilerplate.MainBodyModel.load(spark, str(tmp_path / "model"))
+    assert {(r.response_id, r.line_no) for r in boilerplate.main_lines(df, model=again).collect()} == {(i, n) for i, ns in got.items() for n in ns}
+
+
+def test_nothing_to_learn_from(spark):
+    df = spark.createDataFrame([(1, None, 200, "<p>The mossy harbour keeps jars.</p>".encode()), (2, None, 200, None)], "response_id long, url string, status int, body binary")
+    with pytest.raises(Exception, match="declares its article"):
+        boilerplate.main_lines(df).collect()
+    assert boilerplate.main_lines(df.filter("response_id = 2")).count() == 0
+
+
 def make_texts():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5)))

@@ -3,8 +3,10 @@
 import inspect
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,43 @@ def test_elias_fano(bits, n):
     assert (again.merge(new).decode() == np.union1d(v, new)).all()
 
 
+def test_merging_holds_codes_and_blocks_only():
+    n = 1_500_000
+    rng = np.random.default_rng(5)
+    v = np.unique(rng.integers(0, 1 << 53, n).astype(np.uint64))
+    e = EliasFano(v, 53)
+    new = np.setdiff1d(np.unique(rng.integers(0, 1 << 53, n // 16).astype(np.uint64)), v)
+    tracemalloc.start()
+    both = e.merge(new)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert both.n == len(v) + len(new) and most / both.n < 20 and both.nbytes / both.n < 5
+    assert (both.decode() == np.union1d(v, new)).all()
+    with pytest.raises(ValueError):
+        EliasFano.of_blocks(3, 20, [np.array([1, 2], np.uint64)])
+
+
+def test_walk_cuts_a_long_batch():
+    """Restored keys come as one batch, however many there are; what is held is cut, the answers stay."""
+    rng = np.random.default_rng(6)
+    h = np.sort(rng.integers(0, 1 << 40, 30_000))
+    s = np.arange(len(h) + 9)
+    cols = lambda g, h, s: pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h), pa.array(np.full(len(h), g, np.int32)), pa.array(s)], ["part", "h", "g", "seq"])
+    probes = np.sort(np.concatenate((h[::7], rng.integers(0, 1 << 40, 3000))))
+    want = {int(x) for x in np.setdiff1d(probes, h)}
+    held = seen_keys._HELD
+    try:
+        seen_keys._HELD = 100
+        batches = [cols(-1, h[k : k + 64], s[k : k + len(h[k : k + 64])]) for k in range(0, len(h), 64)] + [cols(0, probes[k : k + 50], s[k : k + len(probes[k : k + 50])]) for k in range(0, len(probes), 50)]
+        got = [x for b in seen_keys._walk(1, (41,), "first")(iter(batches)) for x in b.column("h").to_pylist()]
+        (counts,) = seen_keys._walk(1, (41, 20), "counts")(iter(batches))
+    finally:
+        seen_keys._HELD = held
+    assert len(got) == len(want) and set(got) == want
+    exact, rough = counts.column("found").to_pylist()
+    assert exact == len(want) and rough == len(np.setdiff1d(probes >> 21, h >> 21))
+
+
 def key(n):
     return f"{n:040x}"
 

@@ -2,9 +2,11 @@
 
 A key is hashed to ``hash_bits`` bits. The top bits name a hash partition, the rest is a number in the
 partition's universe; the sorted numbers of a partition are held Elias-Fano coded. Arrivals are cut
-into ``batches`` by their sequence number; one task walks through a partition batch by batch: probe the
+into batches by their sequence number; one task walks through a partition batch by batch: probe the
 batch's keys by successor search, report the first arrival of every key that is new, merge the new keys
-into the code. A task therefore holds one coded partition and one batch, never the keys themselves.
+into the code. A task holds the code, while merging the next one, and at most a quarter as many keys of
+the batch under way as numbers (or ``_HELD``): about 12 bytes a key. Partitions and batches follow from
+the number of rows, so no task grows with the table.
 
 Before the shuffle every Arrow batch is reduced to the first arrival of each (key, batch), so one
 polled address with a third of all rows costs its partition a row per Arrow batch, not its rows.
@@ -48,34 +50,54 @@ def _reduce(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x[o][first]) for x in (h, g, s)], ["h", "g", "seq"])
 
 
-def _walk(universe_bits: int, emit_codes: bool):
-    mask = np.uint64((1 << universe_bits) - 1)
+_HELD = 1 << 20  # rows of a batch held at least before they are merged
+
+
+class _Partition:
+    """The filters of one hash partition, one for each width of the hash; the first decides on arrivals."""
+
+    def __init__(self, part: int, part_bits: int, widths: tuple[int, ...]):
+        self.part, self.widths = part, widths
+        self.masks = [np.uint64((1 << (w - part_bits)) - 1) for w in widths]
+        self.codes = [EliasFano(np.zeros(0, np.uint64), w - part_bits) for w in widths]
+        self.found = [0] * len(widths)
+
+    def pass_(self, h: np.ndarray, s: np.ndarray, counts: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Probes and merges keys sorted by hash, then sequence; gives the first arrivals of the new ones."""
+        out = h[:0], s[:0]
+        for k, (width, mask) in enumerate(zip(self.widths, self.masks)):
+            x = h >> (self.widths[0] - width)
+            first = np.concatenate(([True], x[1:] != x[:-1]))
+            u = x[first].astype(np.uint64) & mask
+            new = ~self.codes[k].contains(u)
+            self.codes[k] = self.codes[k].merge(u[new])
+            if counts:
+                self.found[k] += int(new.sum())
+            if k == 0:
+                out = h[first][new], s[first][new]
+        return out
+
+
+def _walk(part_bits: int, widths: tuple[int, ...], emit: str):
+    """``emit``: 'first' arrivals, 'counts' of them by width, or the 'codes'."""
 
     def run(batches):
-        part, code, group, held = None, None, None, []
-
-        def close():
-            """Probe and merge one (partition, batch); returns its first arrivals."""
-            nonlocal code
-            h = np.concatenate([x for x, _ in held])
-            s = np.concatenate([x for _, x in held])
-            keep = np.concatenate(([True], h[1:] != h[:-1]))  # sorted by hash, then seq
-            h, s = h[keep], s[keep]
-            u = h.astype(np.uint64) & mask
-            new = ~code.contains(u)
-            code = code.merge(u[new])
-            return h[new], s[new]
+        here, group, held, rows = None, None, [], 0
 
         def flush():
-            h, s = close()
-            if not emit_codes and group >= 0 and len(h):
+            nonlocal held, rows
+            h, s = (np.concatenate(x) for x in zip(*held))
+            held, rows = [], 0
+            h, s = here.pass_(h, s, group >= 0)
+            if emit == "first" and group >= 0 and len(h):
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s)], ["h", "seq"])
 
         def done():
-            if emit_codes and code is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([code.n]), pa.array([code.nbytes]), pa.array([code.to_bytes()], pa.binary())], ["part", "n", "bytes", "code"]
-                )
+            if here is not None and emit == "codes":
+                c = here.codes[0]
+                yield pa.RecordBatch.from_arrays([pa.array([here.part], pa.int32()), pa.array([c.n]), pa.array([c.nbytes]), pa.array([c.to_bytes()], pa.binary())], ["part", "n", "bytes", "code"])
+            elif here is not None and emit == "counts":
+                yield pa.RecordBatch.from_arrays([pa.array(widths, pa.int32()), pa.array(here.found, pa.int64())], ["hash_bits", "found"])
 
         for b in batches:
             if not b.num_rows:
@@ -83,15 +105,17 @@ def _walk(universe_bits: int, emit_codes: bool):
             p, h, g, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             cut = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (g[1:] != g[:-1]))))
             for a, e in zip(cut, np.concatenate((cut[1:], [len(p)]))):
-                if (p[a], g[a]) != (part, group):
+                if here is None or (p[a], g[a]) != (here.part, group):
                     if held:
                         yield from flush()
-                        held = []
-                    if p[a] != part:
+                    if here is None or p[a] != here.part:
                         yield from done()
-                        part, code = int(p[a]), EliasFano(np.zeros(0, np.uint64), universe_bits)
+                        here = _Partition(int(p[a]), part_bits, widths)
                     group = int(g[a])
+                elif rows > max(_HELD, here.codes[0].n // 4) and h[a] != held[-1][0][-1]:
+                    yield from flush()  # a batch comes sorted by key, so its first part is a batch of its own
                 held.append((h[a:e], s[a:e]))
+                rows += e - a
         if held:
             yield from flush()
         yield from done()
@@ -99,45 +123,56 @@ def _walk(universe_bits: int, emit_codes: bool):
     return run
 
 
-def _rows(arrivals: DataFrame, hash_bits: int, batches: int) -> DataFrame:
+_KEYS_PER_PARTITION = 1 << 21
+_ROWS_PER_BATCH = 1 << 18
+
+
+def _rows(arrivals: DataFrame, seen: DataFrame | None, hash_bits: int, part_bits: int | None, batches: int | None, narrowest: int) -> tuple[DataFrame, int]:
+    """Rows (h, g, seq) of both tables, those of ``seen`` with g -1, and the bits of the partition number."""
+    n = arrivals.count() + (seen.count() if seen is not None else 0)
+    if part_bits is None:
+        at_least = shuffle_width(arrivals.sparkSession).bit_length() + 1  # work for every task of the shuffle
+        part_bits = min(max(at_least, (n // _KEYS_PER_PARTITION).bit_length()), narrowest - 4)
+    if batches is None:
+        batches = max(2, -(-(n >> part_bits) // _ROWS_PER_BATCH))
     a = arrivals.select(key_hash(F.col("fingerprint"), hash_bits).alias("h"), F.col("seq").cast("long").alias("seq"))
     a = a.filter("h is not null and seq is not null")
     lo, hi = arrivals.agg(F.min("seq"), F.max("seq")).first()
     lo, hi = lo or 0, hi or 0
     width = max(1, -(-(hi - lo + 1) // batches))
-    return a.select("h", F.expr(f"cast((seq - {lo}L) div {width}L as int)").alias("g"), "seq")
+    rows = a.select("h", F.expr(f"cast((seq - {lo}L) div {width}L as int)").alias("g"), "seq")
+    if seen is not None:
+        old = seen.select(key_hash(F.col("fingerprint"), hash_bits).alias("h"), F.lit(-1).alias("g"), F.lit(-1).cast("long").alias("seq"))
+        rows = rows.unionByName(old.filter("h is not null"))
+    return _partitioned(rows, n, hash_bits, part_bits), part_bits
 
 
-def _partitioned(rows: DataFrame, hash_bits: int, part_bits: int) -> DataFrame:
+def _partitioned(rows: DataFrame, n: int, hash_bits: int, part_bits: int) -> DataFrame:
     few = rows.mapInArrow(_reduce, "h long, g int, seq long")
     few = few.select(F.shiftright("h", hash_bits - part_bits).cast("int").alias("part"), "h", "g", "seq")
-    width = min(1 << part_bits, shuffle_width(rows.sparkSession))
+    width = min(1 << part_bits, shuffle_width(rows.sparkSession, n, _KEYS_PER_PARTITION))
     return few.repartition(width, "part").sortWithinPartitions("part", "g", "h", "seq")
 
 
-def first_arrivals(arrivals: DataFrame, seen: DataFrame | None, hash_bits: int = 63, part_bits: int = 10, batches: int = 16) -> DataFrame:
+def first_arrivals(arrivals: DataFrame, seen: DataFrame | None, hash_bits: int = 63, part_bits: int | None = None, batches: int | None = None) -> DataFrame:
     """``(h, seq)`` of each arrival whose key is in neither ``seen`` nor an arrival of smaller ``seq``.
 
     ``arrivals``: seq long, fingerprint string; ``seen``: fingerprint string, earlier than any arrival.
     Letter case and surrounding blanks of a fingerprint mean nothing; nulls and broken digests are no
     keys and never reported; rows with a null ``seq`` have no place in the order and are left out;
     repeated rows with one ``seq`` are both first. Extra columns are ignored, empty tables allowed.
+    ``part_bits`` and ``batches`` follow from the number of rows unless given.
 
     A hash collision can only hide a first arrival. Expected rate: keys held / 2**hash_bits.
     """
-    rows = _rows(arrivals, hash_bits, batches)
-    if seen is not None:
-        old = seen.select(key_hash(F.col("fingerprint"), hash_bits).alias("h"), F.lit(-1).alias("g"), F.lit(-1).cast("long").alias("seq"))
-        rows = rows.unionByName(old.filter("h is not null"))
-    return _partitioned(rows, hash_bits, part_bits).mapInArrow(_walk(hash_bits - part_bits, False), "h long, seq long")
+    rows, part_bits = _rows(arrivals, seen, hash_bits, part_bits, batches, hash_bits)
+    return rows.mapInArrow(_walk(part_bits, (hash_bits,), "first"), "h long, seq long")
 
 
-def filter_codes(keys: DataFrame, hash_bits: int = 63, part_bits: int = 10) -> DataFrame:
+def filter_codes(keys: DataFrame, hash_bits: int = 63, part_bits: int | None = None) -> DataFrame:
     """The filter itself as a table: one Elias-Fano code per hash partition, ready to be written and restored."""
-    rows = keys.select(key_hash(F.col("fingerprint"), hash_bits).alias("h"), F.lit(0).alias("g"), F.lit(0).cast("long").alias("seq"))
-    return _partitioned(rows.filter("h is not null"), hash_bits, part_bits).mapInArrow(
-        _walk(hash_bits - part_bits, True), "part int, n long, bytes long, code binary"
-    )
+    rows, part_bits = _rows(keys.select("fingerprint", F.lit(0).cast("long").alias("seq")), None, hash_bits, part_bits, 1, hash_bits)
+    return rows.mapInArrow(_walk(part_bits, (hash_bits,), "codes"), "part int, n long, bytes long, code binary")
 
 
 def seen_before(arrivals: DataFrame, seen: DataFrame | None, **how) -> DataFrame:
@@ -157,20 +192,20 @@ def exact_first(arrivals: DataFrame, seen: DataFrame | None) -> DataFrame:
     return first
 
 
-def error_rates(arrivals: DataFrame, seen: DataFrame | None, hash_bits: tuple[int, ...] = (24, 32, 40, 63), part_bits: int = 8) -> DataFrame:
+def error_rates(arrivals: DataFrame, seen: DataFrame | None, hash_bits: tuple[int, ...] = (24, 32, 40, 63)) -> DataFrame:
     """Measured and expected rate of wrong answers for several hash widths, against the exact answer.
 
     A wrong answer is a key called seen that is new. One row per width: distinct new keys, first
-    arrivals found, wrong answers, their rate among the new keys and the rate expected by chance.
+    arrivals found, wrong answers, their rate among the new keys and the rate expected by chance. One walk
+    carries a filter for every width: the narrower hashes are the leading bits of the widest.
     """
+    widths = tuple(sorted(set(hash_bits), reverse=True))
+    rows, part_bits = _rows(arrivals, seen, widths[0], None, None, widths[-1])
+    found = rows.mapInArrow(_walk(part_bits, widths, "counts"), "hash_bits int, found long")
     zero = F.lit(0).cast("long")
-    exact = exact_first(arrivals, seen).agg(F.count("*").alias("new_keys"))
-    counts = None
-    for bits in hash_bits:
-        got = first_arrivals(arrivals, seen, hash_bits=bits, part_bits=min(part_bits, bits - 8)).agg(F.countDistinct("h").alias("found"))
-        for side in (exact.select(F.lit(bits).alias("hash_bits"), "new_keys", zero.alias("found")), got.select(F.lit(bits).alias("hash_bits"), zero.alias("new_keys"), "found")):
-            counts = side if counts is None else counts.unionByName(side)
-    c = counts.groupBy("hash_bits").agg(F.sum("new_keys").alias("new_keys"), F.sum("found").alias("found"))
+    every = F.explode(F.array(*map(F.lit, widths))).alias("hash_bits")
+    exact = exact_first(arrivals, seen).agg(F.count("*").alias("new_keys")).select(every, "new_keys", zero.alias("found"))
+    c = exact.unionByName(found.select("hash_bits", zero.alias("new_keys"), "found")).groupBy("hash_bits").agg(F.sum("new_keys").alias("new_keys"), F.sum("found").alias("found"))
     wrong = F.col("new_keys") - F.col("found")
     return c.select(
         "hash_bits", "new_keys", "found", wrong.alias("wrong"), (wrong / F.greatest(F.col("new_keys"), F.lit(1))).alias("wrong_rate"),

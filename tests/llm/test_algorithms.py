@@ -126,15 +126,28 @@ def test_near_duplicates(spark):
             n += 1
     rows += [(n, rows[5][1]), (n + 1, rows[5][1]), (n + 2, None), (n + 3, b""), (n + 4, page(["a"])), (None, rows[5][1]), (n + 5, page(["same"] * 300)), (n + 6, page(["same"] * 500))]
     df = spark.createDataFrame(rows, "response_id long, body binary").withColumn("grams", F.lit(1)).repartition(4)
-    got = nd.near_duplicate_pages(df, 0.6, 100)
     want = brute(rows, 0.6)
-    pairs = [(r.id_a, r.id_b) for r in got.pairs().collect()]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    for how in ({"hot": 3}, {}):
+        got = nd.near_duplicate_pages(df, 0.6, 100, **how)
+        pairs = [(r.id_a, r.id_b) for r in got.pairs().collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
     m = {r.id: r for r in got.memberships().collect()}
     assert m[n].class_id == 5 and m[n].copies == 3
     assert nd.near_duplicate_pages(df.limit(0), 0.6, 100).pairs().count() == 0
 
 
+def test_hot_bands_meet_in_blocks(spark):
+    rng = random.Random(9)
+    rows = [(i, 1) for i in range(70)] + [(i, 2) for i in range(60, 75)] + [(200, 3), (201, 4), (202, 4), (70, 1), (70, 5)]
+    rows += [(i, 6 + rng.randrange(20)) for i in range(300, 360)]
+    df = spark.createDataFrame(rows, "id long, band long")
+    want = {(a, b) for a, x in rows for b, y in rows if x == y and a < b}
+    for hot in (4, 7, 1000):
+        got = [(r.a, r.b) for r in nd._meetings(df, hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert nd.table_bits(400) == 22 and nd.table_bits(3000) == 25 and nd.table_bits(0) == 22
+
+
 def test_bands():
     b = nd.bands_for(0.6, 4, 0.99)
     assert 1 - (1 - 0.6**4) ** b >= 0.99 > 1 - (1 - 0.6**4) ** (b - 1)

@@ -3,17 +3,19 @@
 1. Every body becomes its set of word triples, hashed to 32 bits (in a set of 500 a wrong match has odds
    of 1 : 10,000 and moves the similarity by 1/500), written once. Equal sets form a class; only one
    representative of a class goes on, so a page stored again many times costs one row per step.
-2. Document frequencies of all triples are counted in one hashed table of fixed size (all documents, all
-   triples). Triples in more than ``common_share`` of the documents - menus and notices of big sites -
-   are *common*.
+2. Document frequencies of all triples are counted in one hashed table (all documents, all triples), whose
+   size follows from the mean number of triples, not of documents. Triples in more than ``common_share`` of the
+   documents - menus and notices of big sites - are *common*.
 3. Signatures. Family 0 takes minima over the rare triples only, so pages that merely share a site's
    boilerplate do not meet, however large the site. Documents whose rare share is under ``rare_share``
    also join family 1, over all triples with longer bands. Any pair at the limit in which one side has
    that rare share keeps a rare-set similarity of (limit - c) / (1 - c) with c = 1 - rare_share; any
    other pair meets in family 1 at its full similarity. The bands of both families are chosen for the
    target recall at those similarities. Band keys have 40 bits: a wrong meeting costs a candidate, no result.
-4. Pairs of one band hash are dropped at once if 256 one-bit minima (a fixed 32 bytes a document) put
-   them far below the limit, made distinct, and verified on the whole triple sets.
+4. Band hashes of one document only are dropped before the join. Those of more than ``hot`` documents are cut into
+   blocks of about ``hot`` documents by a hash of the id; every two blocks meet in a task key of their own, so no task
+   holds a whole hot band. Pairs are made distinct, dropped if 256 one-bit minima (a fixed 32 bytes a document)
+   put them far below the limit, and verified on the whole triple sets.
 5. Verified pairs of representatives and the members of the classes give the result: every pair if asked
    for, or one row per document with its class and its number of links.
 """
@@ -28,17 +30,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webloom.runtime import materialize, shuffle_width
 
 _MARKUP = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[/!?a-zA-Z][^>]*>", re.S | re.I)
 _BLANKS = re.compile(r"[ \t\r\n]+")
-_TABLE_BITS = 22  # counters of the frequency table
+_TABLE_BITS = (22, 25)  # bounds of the counters of the frequency table
 _SLICES = 64
 _SKETCH = 256
 
-SETS = "id long, c1 long, c2 long, grams array<int>"
+SETS = "id long, c1 long, c2 long, size int, grams array<int>"
 
 
 def bands_for(similarity: float, rows: int, recall: float) -> int:
@@ -83,7 +86,7 @@ def _sets(size: int, is_page: bool):
     def run(batches):
         known: dict[str, int] = {}
         for b in batches:
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], []]
             sizes = [0]
             for i, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of_page(body) if is_page else body.lower().split()
@@ -94,51 +97,61 @@ def _sets(size: int, is_page: bool):
                 signed = np.array([raw & (2**64 - 1), raw >> 64], np.uint64).view(np.int64)
                 short = np.unique((g >> np.uint64(32)).astype(np.uint32))
                 sizes.append(sizes[-1] + len(short))
-                for c, v in zip(cols, (i, int(signed[0]), int(signed[1]), short.view(np.int32))):
+                for c, v in zip(cols, (i, int(signed[0]), int(signed[1]), len(short), short.view(np.int32))):
                     c.append(v)
-            flat = np.concatenate(cols[3]) if cols[3] else np.zeros(0, np.int32)
+            flat = np.concatenate(cols[4]) if cols[4] else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), lists], ["id", "c1", "c2", "grams"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.int32()), lists], ["id", "c1", "c2", "size", "grams"])
 
     return run
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint32(32 - _TABLE_BITS)).astype(np.int64)
+def table_bits(triples: float) -> int:
+    """Bits of the frequency table for documents of so many triples on average: chance gives a counter at most about 1 / 8,000 of the documents."""
+    low, high = _TABLE_BITS
+    return min(high, max(low, math.ceil(math.log2(max(1.0, 8000 * triples)))))
 
 
-def _count_table(batches):
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> np.uint32(32 - bits)).astype(np.int64)
+
+
+def _count_table(bits: int):
     """Counts of hashed triples in this partition, cut into slices."""
-    counts = np.zeros(1 << _TABLE_BITS, np.int32)
-    for b in batches:
-        g = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-        counts += np.bincount(_slot(g), minlength=1 << _TABLE_BITS).astype(np.int32)
-    width = (1 << _TABLE_BITS) // _SLICES
-    for s in range(_SLICES):
-        part = counts[s * width : (s + 1) * width]
-        at = np.flatnonzero(part)
-        if len(at):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s], pa.int32()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([part[at]], pa.list_(pa.int32()))], ["slice", "at", "n"]
-            )
-
-
-def _sum_slices(limit: float):
+
+    def run(batches):
+        counts = np.zeros(1 << bits, np.int32)
+        for b in batches:
+            g = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+            np.add.at(counts, _slot(g, bits), 1)
+        width = (1 << bits) // _SLICES
+        for s in range(_SLICES):
+            part = counts[s * width : (s + 1) * width]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s], pa.int32()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([part[at]], pa.list_(pa.int32()))], ["slice", "at", "n"]
+                )
+
+    return run
+
+
+def _sum_slices(limit: float, bits: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((1 << _TABLE_BITS) // _SLICES, np.int64)
+        counts = np.zeros((1 << bits) // _SLICES, np.int64)
         for b in batches:
             for at, n in zip(b.column("at"), b.column("n")):
                 counts[at.values.to_numpy()] += n.values.to_numpy()
-        bits = np.packbits(counts > limit, bitorder="little")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["slice", "bits"])
+        over = np.packbits(counts > limit, bitorder="little")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([over.tobytes()], pa.binary())], ["slice", "bits"])
 
     return run
 
 
-def common_grams(sets: DataFrame, limit: float) -> bytes:
-    """Bit table (2**22 bits, 512 KB whatever the corpus) of the hashed triples in more than ``limit`` documents."""
-    got = sets.select("grams").mapInArrow(_count_table, "slice int, at array<int>, n array<int>").groupBy("slice").applyInArrow(_sum_slices(limit), "slice int, bits binary").collect()
-    width = (1 << _TABLE_BITS) // _SLICES // 8
+def common_grams(sets: DataFrame, limit: float, bits: int) -> bytes:
+    """Bit table (2**bits bits: 512 KB to 4 MB, whatever the corpus) of the hashed triples in more than ``limit`` documents."""
+    got = sets.select("grams").mapInArrow(_count_table(bits), "slice int, at array<int>, n array<int>").groupBy("slice").applyInArrow(_sum_slices(limit, bits), "slice int, bits binary").collect()
+    width = (1 << bits) // _SLICES // 8
     by = {r["slice"]: bytes(r["bits"]) for r in got}
     return b"".join(by.get(s, bytes(width)) for s in range(_SLICES))
 
@@ -170,7 +183,8 @@ def _band_keys(minima: np.ndarray, rows: int, family: int) -> np.ndarray:
 
 def _signatures(table, rare_share: float, rare: tuple[int, int], full: tuple[int, int]):
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(table.value, np.uint8), bitorder="little").astype(bool)
+        common = np.unpackbits(np.frombuffer(table.value, np.uint8), bitorder="little").astype(bool)
+        bits = len(common).bit_length() - 1
         ra, rb = _coefficients(rare[0] * rare[1], 11)
         fa, fb = _coefficients(full[0] * full[1], 13)
         sa, sb = _coefficients(_SKETCH, 17)
@@ -178,7 +192,7 @@ def _signatures(table, rare_share: float, rare: tuple[int, int], full: tuple[int
             out = [[], [], []]
             for i, g in zip(b.column("id").to_pylist(), b.column("grams")):
                 g = g.values.to_numpy(zero_copy_only=False).view(np.uint32)
-                few = g[~bits[_slot(g)]]
+                few = g[~common[_slot(g, bits)]]
                 keys = [_band_keys(_minima(few, ra, rb), rare[1], 0)] if len(few) else []
                 if len(few) < rare_share * len(g):
                     keys.append(_band_keys(_minima(g, fa, fb), full[1], 1))
@@ -220,14 +234,33 @@ def _verify(limit: float):
     return run
 
 
+def _meetings(bands: DataFrame, hot: int) -> DataFrame:
+    """Distinct pairs ``a < b`` of documents (id, band) that share a band."""
+    bands = bands.repartition(shuffle_width(bands.sparkSession), "band")
+    shared = bands.withColumn("k", F.count("*").over(W.partitionBy("band"))).filter("k > 1")
+    shared = materialize(shared, "bands")  # a small part of the bands, used by both sides of each join
+    few = shared.filter(F.col("k") <= hot)
+    cold = few.select("band", F.col("id").alias("a")).join(few.select("band", F.col("id").alias("b")), "band").filter("a < b").select("a", "b")
+    # blocks i <= j of a hot band meet under the key (band, i, j)
+    block = shared.filter(F.col("k") > hot).withColumn("last", F.floor((F.col("k") - 1) / hot).cast("int"))
+    block = block.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("last") + 1).cast("int"))
+    left = block.select("band", F.col("id").alias("x"), F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"))
+    right = block.select("band", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    across = left.join(right, ["band", "i", "j"]).filter((F.col("x") < F.col("y")) | (F.col("i") < F.col("j")))
+    return cold.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).filter("a < b").distinct()
+
+
 class NearDuplicates:
     """Classes of equal n-gram sets (``members``: id, rep) and verified pairs of their representatives (``links``: a < b, similarity)."""
 
     def __init__(
         self, texts: DataFrame, similarity: float, gram: int, is_page: bool,
         recall: float = 0.999, common_share: float = 0.001, rare_share: float = 0.8, rare_rows: int = 4, full_rows: int = 5,
+        hot: int = 512,
     ):
-        """``texts``: id long, text (binary for pages, string otherwise); rows with null id or text or fewer words than a gram have no partner."""
+        """``texts``: id long, text (binary for pages, string otherwise); rows with null id or text or fewer words than a gram have no partner.
+
+        ``hot``: documents of one band that meet in one task."""
         spark = texts.sparkSession
         self.sets = sets = materialize(texts.filter("id is not null and text is not null").mapInArrow(_sets(gram, is_page), SETS), "ngrams")
         rep = sets.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
@@ -236,13 +269,13 @@ class NearDuplicates:
         # written by itself: with few copies its known size makes the next joins broadcasts, with many they shuffle
         copies = materialize(self.members.filter("id <> rep").select("id"), "copies")
         own = sets.join(copies, "id", "left_anti").select("id", "grams")
-        docs = own.count()
-        table = spark.sparkContext.broadcast(common_grams(own, max(8.0, common_share * docs)))  # 512 KB
+        docs, triples = sets.join(copies, "id", "left_anti").agg(F.count("*"), F.sum("size")).first()
+        bits = table_bits((triples or 0) / max(1, docs))
+        by_chance = (triples or 0) / (1 << bits)
+        table = spark.sparkContext.broadcast(common_grams(own, max(8.0, common_share * docs, 3 * by_chance), bits))
         rare, full = families(similarity, recall, rare_share, rare_rows, full_rows)
         signed = materialize(own.mapInArrow(_signatures(table, rare_share, rare, full), "id long, bands array<long>, sketch binary"), "signatures")
-        # one exchange serves both sides of the self-join
-        band = signed.select("id", F.explode("bands").alias("band")).repartition(shuffle_width(spark), "band")
-        meet = band.withColumnRenamed("id", "a").join(band.withColumnRenamed("id", "b"), "band").filter("a < b").select("a", "b").distinct()
+        meet = _meetings(signed.select("id", F.explode("bands").alias("band")), hot)
         sketch = signed.select("id", "sketch")
         near = (
             meet.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_far(similarity), "a long, b long")

@@ -175,7 +175,7 @@ TEXTS = ["", None, "  ", "Hello, world's  end!\n\n  x", "é日本語 ½ <|endoft
 @pytest.mark.parametrize("name", tokens.BYTE_LEVEL)
 def test_ids(spark, name):
     df = spark.createDataFrame([(i if i < 8 else 3, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").withColumn("chunk", F.lit(1)).withColumn("word", F.lit("x"))
-    got = tokens.encode(df, name, docs_per_chunk=3).collect()
+    got = tokens.encode(df, name, chunk_bytes=40).collect()
     enc = tokens._encoder(tokens.rank_file(name, tokens.TOKENIZER_DIR))
     assert sorted((r.doc_id, list(r.ids)) for r in got) == sorted((i if i < 8 else 3, enc.encode_ordinary(t or "")) for i, t in enumerate(TEXTS))
     back = tokens.decode(spark.createDataFrame(got), name).collect()

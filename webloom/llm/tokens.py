@@ -1,11 +1,12 @@
 """Encoding a corpus with a public byte-level BPE through a table of distinct words.
 
 The tokenizer's own split pattern cuts a text into words that are merged independently, so the ids of a
-text are the ids of its words side by side. Documents are spread over chunks by a hash of their id; each
-chunk gives its distinct words, every distinct word of the corpus is merged once, the ids are joined back
-to the chunks that use the word, and each chunk replaces its words by ids position by position. What is
-shuffled is a chunk's vocabulary, not its running text: a word that makes up a third of the corpus costs
-one row per chunk.
+text are the ids of its words side by side. One pass splits the texts where they are stored: it cuts them
+into chunks of about a megabyte and writes, for each chunk, its distinct words and each text as positions
+in that vocabulary. Every distinct word of the corpus is merged once, its ids are joined back to the chunks
+that use the word, and each chunk puts the ids in the places of its words. The running text is neither
+shuffled nor split twice: what is shuffled is the positions, four bytes a word before compression, and a
+chunk's vocabulary, so a word that makes up a third of the corpus costs one row per chunk.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ import os
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from webloom.runtime import materialize, shuffle_width
 
@@ -53,12 +56,53 @@ def _encoder(path: str):
 _split = regex.compile(SPLIT_PATTERN).findall
 
 
-def _vocabulary(t: pa.Table) -> pa.Table:
-    words: set[str] = set()
-    for text in t.column("text").to_pylist():
-        if text:
-            words.update(_split(text))
-    return pa.table({"chunk": pa.array([t.column("chunk")[0].as_py()] * len(words), pa.int64()), "word": pa.array(list(words), pa.string())})
+class _Positions(dict):
+    """Word to its position in the vocabulary of a chunk."""
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        return i
+
+
+def _split_texts(kept: int, chunk_bytes: int, types: list[pa.DataType]):
+    """Texts (the last column) as positions in the vocabulary of their chunk, and the vocabularies."""
+    names = ["chunk", "pos", "word", *(f"c{k}" for k in range(kept)), "at"]
+    fields = [pa.int64(), pa.int32(), pa.string(), *types, pa.list_(pa.int32())]
+
+    def batch(size: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([cols[n].cast(t) if n in cols else pa.nulls(size, t) for n, t in zip(names, fields)], names)
+
+    def run(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        known, at, sizes, held, size = _Positions(), [], [0], [], 0
+
+        def close():
+            rows = len(sizes) - 1
+            cols = {f"c{k}": pa.concat_arrays([h[k] for h in held]) for k in range(kept)}
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(at, pa.int32()))
+            yield batch(rows, chunk=pa.array(np.full(rows, chunk)), at=lists, **cols)
+            n = len(known)
+            if n:
+                yield batch(n, chunk=pa.array(np.full(n, chunk)), pos=pa.array(np.arange(n, dtype=np.int32)), word=pa.array(list(known), pa.string()))
+
+        for b in batches:
+            start = 0
+            for row, text in enumerate(b.column(kept).to_pylist()):
+                if text:
+                    at += map(known.__getitem__, _split(text))
+                    size += len(text)
+                sizes.append(len(at))
+                if size >= chunk_bytes:
+                    held.append([b.column(k).slice(start, row + 1 - start) for k in range(kept)])
+                    yield from close()
+                    chunk, start = chunk + 1, row + 1
+                    known, at, sizes, held, size = _Positions(), [], [0], [], 0
+            if start < b.num_rows:
+                held.append([b.column(k).slice(start) for k in range(kept)])
+        if len(sizes) > 1:
+            yield from close()
+
+    return run
 
 
 def _merge_words(path: str):
@@ -71,53 +115,55 @@ def _merge_words(path: str):
     return run
 
 
-def _replace(count_only: bool):
+def _replace(kept: int, count_only: bool):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        ids = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist()))
-        size = {w: len(i) for w, i in ids.items()} if count_only else {}
-        texts = docs.column("text").to_pylist()
-        keep = docs.drop_columns(["chunk", "text"])
+        order = np.argsort(words.column("pos").to_numpy())
+        ids = words.column("ids").combine_chunks().take(pa.array(order))
+        lengths = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, flat = np.cumsum(lengths) - lengths, ids.flatten().to_numpy(zero_copy_only=False)
+        at = docs.column("at").combine_chunks()
+        per_text = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = at.flatten().to_numpy(zero_copy_only=False)
+        per_word = lengths[at]
+        ends = np.concatenate(([0], np.cumsum(per_word)))
+        bounds = ends[np.concatenate(([0], np.cumsum(per_text)))]  # of the ids of each text
+        keep = docs.select([f"c{k}" for k in range(kept)])
         if count_only:
-            return keep.append_column("tokens", pa.array([sum(map(size.__getitem__, _split(t))) if t else 0 for t in texts], pa.int64()))
-        values, offsets = [], [0]
-        for t in texts:
-            if t:
-                for w in _split(t):
-                    values += ids[w]
-            offsets.append(len(values))
-        return keep.append_column("ids", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())))
+            return keep.append_column("tokens", pa.array(np.diff(bounds)))
+        values = flat[np.repeat(starts[at] - ends[:-1], per_word) + np.arange(ends[-1])].astype(np.int32)
+        return keep.append_column("ids", pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values)))
 
     return run
 
 
-def _encode(docs: DataFrame, columns: list[str], tokenizer: str, folder: str, docs_per_chunk: int, count_only: bool) -> DataFrame:
+def _encode(docs: DataFrame, columns: list[str], tokenizer: str, folder: str, chunk_bytes: int, count_only: bool) -> DataFrame:
     path = rank_file(tokenizer, folder)
-    spark = docs.sparkSession
-    n = docs.count()
-    chunks = max(1, -(-n // docs_per_chunk))
-    spread = docs.select(*columns, F.col("text").cast("string").alias("text"), F.expr(f"pmod(xxhash64({', '.join(columns)}), {chunks}L)").alias("chunk"))
-    spread = spread.repartition(min(chunks, shuffle_width(spark, n, 4 * docs_per_chunk)), "chunk")
-    used = spread.groupBy("chunk").applyInArrow(_vocabulary, "chunk long, word string")
+    kept = [docs.schema[c].dataType for c in columns]
+    fields = ", ".join(f"c{k} {t.simpleString()}" for k, t in enumerate(kept))
+    texts = docs.select(*columns, F.col("text").cast("string").alias("text"))
+    split = texts.mapInArrow(_split_texts(len(kept), chunk_bytes, [to_arrow_type(t) for t in kept]), f"chunk long, pos int, word string, {fields}, at array<int>")
+    split = materialize(split, "split")
+    used = split.filter("word is not null").select("chunk", "pos", "word")
     known = used.select("word").distinct().mapInArrow(_merge_words(path), "word string, ids array<int>")
-    back = used.join(known, "word").select("chunk", "word", "ids")
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in spread.select(*columns).schema]
-    out = ", ".join([*kept, "tokens long" if count_only else "ids array<int>"])
-    return spread.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_replace(count_only), out)
+    back = used.join(known, "word").select("chunk", "pos", "ids")
+    places = split.filter("at is not null").select(F.col("chunk").alias("of"), *(f"c{k}" for k in range(len(kept))), "at")
+    done = places.groupBy("of").cogroup(back.groupBy("chunk")).applyInArrow(_replace(len(kept), count_only), fields + (", tokens long" if count_only else ", ids array<int>"))
+    return done.withColumnsRenamed({f"c{k}": c for k, c in enumerate(columns)})
 
 
-def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, docs_per_chunk: int = 1024) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, chunk_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, ids`` of every row of ``docs`` (doc_id, text), without special tokens.
 
     Null and empty texts get an empty list; blank texts the ids of their blanks. Repeated rows and
     repeated or null ids each keep their row. Strings of special tokens inside a text are ordinary text.
-    Extra columns are ignored; an empty table gives an empty result.
+    Extra columns are ignored; an empty table gives an empty result. ``chunk_bytes``: characters after which a chunk is closed.
     """
-    return _encode(docs, ["doc_id"], tokenizer, folder, docs_per_chunk, False)
+    return _encode(docs, ["doc_id"], tokenizer, folder, chunk_bytes, False)
 
 
-def token_counts(docs: DataFrame, columns: list[str], tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, docs_per_chunk: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, columns: list[str], tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, chunk_bytes: int = 1 << 20) -> DataFrame:
     """The given columns of ``docs`` and ``tokens``, the size of the text; 0 for null and empty texts."""
-    return _encode(docs, columns, tokenizer, folder, docs_per_chunk, True)
+    return _encode(docs, columns, tokenizer, folder, chunk_bytes, True)
 
 
 def pieces(spark: SparkSession, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:

@@ -10,7 +10,8 @@ from webloom.llm.page import parse
 from webloom.runtime import table
 
 SF = "/root/testdata/sf0.01"
-SOUND = ["fiancé’s menu", "NÃO e SÃO: ATENÇÃO", "Größe „Möbel“", "Bake at 180 °C with ½ cup and 3×5 cm", "±67 → 5", "Ещё запрещён защищены", "нАША почтальонша", "КОНТАКТЫ (0)", "日本語のテキスト。", "Salt &amp; pepper &lt;b&gt;", "naïve 'quotes' – dash — €5"]
+SOUND = ["fiancé’s menu", "NÃO e SÃO: ATENÇÃO", "Größe „Möbel“", "Bake at 180 °C with ½ cup and 3×5 cm", "±67 → 5", "Ещё запрещён защищены", "нАША почтальонша", "КОНТАКТЫ (0)", "日本語のテキスト。", "Salt &amp; pepper &lt;b&gt;", "naïve 'quotes' – dash — €5",
+         "τα δε σε και η Ελλάδα ΑΘΗΝΑ", "ÄÖÜ äöü", "鰯と鯖の味噌煮", "我的朋友", "한국어 문장입니다", "שלום עולם", "قهوة", "Dvořák Łódź İstanbul"]
 
 
 @pytest.mark.parametrize("text", SOUND)
@@ -45,6 +46,23 @@ def test_blanks_that_are_bytes_of_misread_text(encoding):
         assert charset.garbled_tokens(text) == {}
 
 
+@pytest.mark.parametrize(("text", "charset_"), [("我的朋友", "gb18030"), ("こんにちは", "cp932"), ("ελληνικά", "cp1253"), ("Dvořák", "cp1250"), ("İstanbul", "cp1254")])
+def test_misread_utf8_of_other_scripts(text, charset_):
+    bad = text.encode().decode(charset_)
+    assert charset.restore(bad) == text and charset.garbled_tokens(bad) == {bad: text}
+
+
+def test_the_bound_of_the_search_loses_nothing_here():
+    words = ["soufflé", "Größe", "учительница", "ελληνικά", "日本語", "crème", "señor"]
+    pairs = [("latin-1", 1), ("cp1251", 1), ("cp437", 1), ("mac-roman", 2), ("cp1252", 2)]
+    for w in words:
+        for cs, times in pairs:
+            bad = w
+            for _ in range(times):
+                bad = "".join(charset._CHARS[cs].get(b, chr(b)) if b > 127 else chr(b) for b in bad.encode())
+            assert charset.search(bad)[:2] == charset.search(bad, limit=None)[:2], (w, cs)
+
+
 def test_quoted_samples_do_not_count(spark):
     rows = [(1, b"<p><code>caf\xc3\x83\xc2\xa9</code></p>"), (2, "text\n    cafÃ© → café\nmore".encode()), (3, "cafÃ©".encode()), (4, None), (5, b""), (6, ("x " * 200_000 + "cafÃ©").encode())]
     df = spark.createDataFrame(rows, "response_id long, body binary").withColumn("record_id", F.lit(9))

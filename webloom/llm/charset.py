@@ -4,9 +4,11 @@ Every token with characters outside ASCII (or with character references) is the
 search over texts. A step encodes the token in one charset and decodes the bytes in another, or
 resolves character references; texts already reached are known by their hash. A cost of implausible
 characters orders the search and judges its end: control characters, symbols inside words, mixed
-scripts, odd capitals and rare letters cost, so the cheapest reachable text is the likeliest original.
-A token is garbled if a text clearly cheaper than itself can be reached, or if it holds replacement
-characters, whose original is lost.
+scripts, odd capitals, rare letters and rare East Asian characters cost, so the cheapest reachable text is
+the likeliest original. A token is garbled if a text clearly cheaper than itself can be reached, or if it
+holds replacement characters, whose original is lost. Charsets of Western, Central European, Turkish,
+Cyrillic, Greek, Chinese, Japanese and Korean texts are steps of the search; a search follows at most four
+misreadings one upon the other and expands at most ``limit`` texts (None: as many as there are).
 
 Tokens repeat, so each worker keeps what it found by token.
 """
@@ -29,14 +31,23 @@ _RUSSIAN = {
     "й": 1.21, "х": 0.97, "ж": 0.94, "ш": 0.73, "ю": 0.64, "ц": 0.48, "щ": 0.36, "э": 0.32, "ф": 0.26, "ъ": 0.04, "ё": 0.50,
 }
 
+#: Greek letters by their frequency in per cent (public counts, rounded).
+_GREEK = {
+    "α": 9.9, "ο": 9.1, "ι": 8.8, "ε": 8.0, "τ": 7.9, "ν": 6.0, "η": 5.6, "σ": 4.9, "υ": 4.3, "ρ": 4.3, "π": 4.0, "κ": 4.0, "μ": 3.3, "ς": 3.1, "λ": 2.9, "ί": 2.0, "ά": 1.9,
+    "ό": 1.9, "ω": 1.9, "γ": 1.7, "δ": 1.7, "έ": 1.7, "ή": 1.4, "χ": 1.2, "θ": 1.2, "φ": 0.9, "ώ": 0.9, "β": 0.7, "ύ": 0.7, "ξ": 0.5, "ζ": 0.4, "ψ": 0.15,
+}
+
 #: charsets in which UTF-8 bytes may have been read
-_WIDE = ("cp1252", "latin-1", "cp1251", "mac-roman", "cp437", "koi8-r", "cp850", "cp866", "iso8859-5", "mac-cyrillic")
+_WIDE = ("cp1252", "latin-1", "cp1251", "mac-roman", "cp437", "koi8-r", "cp850", "cp866", "iso8859-5", "mac-cyrillic", "cp1250", "cp1253", "cp1254")
+#: charsets of two bytes a character in which UTF-8 bytes may have been read
+_EASTERN = ("gb18030", "cp932", "big5", "cp949", "euc_jp")
 #: pairs (read as, was) of single-byte charsets
 _NARROW = [
     (a, b)
     for a, b in (
         ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"),
         ("mac-roman", "cp1252"), ("cp437", "cp1252"), ("cp1252", "mac-roman"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("iso8859-5", "cp1251"), ("cp1251", "iso8859-5"),
+        ("cp1252", "cp1253"), ("cp1253", "cp1252"),
     )
 ]
 
@@ -78,14 +89,27 @@ _PLAIN = re.compile(r"[^\s<>\"\x1c-\x1f]+")
 _TOKEN = re.compile(rf"(?:{_PLAIN.pattern}|{_kept_blanks()})+")
 #: tokens of ASCII that stand for more
 _REFERRING = re.compile(r"&(?:#\d|#[xX]|[A-Za-z]{2,8};[^\s<>\"]*&[A-Za-z#])")
-#: East Asian text with its own and ASCII marks: nothing a Western charset could have made
-_EAST = re.compile(r"[\x00-\x7f\u2010-\u2026\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef]*")
+
+
+def _common_eastern() -> str:
+    """The characters the national standards put first as those in common use: Chinese (GB 2312, Big5), Japanese (JIS level 1), Korean syllables (KS X 1001)."""
+    out = set()
+    for charset, leads in (("gb2312", range(0xB0, 0xD8)), ("big5", range(0xA4, 0xC7)), ("shift_jis", range(0x88, 0x99)), ("euc_kr", range(0xB0, 0xC9))):
+        raw = b"".join(bytes((lead, trail)) + b"\n" for lead in leads for trail in range(0x40, 0xFF) if trail != 0x7F)
+        out.update(c for line in raw.split(b"\n") if len(line) == 2 for c in line.decode(charset, "ignore") if "\u4e00" <= c < "\ua000" or "\uac00" <= c < "\ud7a4")
+    return "".join(sorted(out))
+
+
+_COMMON = frozenset(_common_eastern())
+#: East Asian text of common characters with its own and ASCII marks: nothing a wrong charset is likely to have made
+_EAST = re.compile(rf"[\x00-\x7f\u2010-\u2026\u3000-\u30ff\uff00-\uff60{''.join(sorted(_COMMON))}]*")
+_HAS_EAST = re.compile(r"[\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uffef]")
 _CODE = re.compile(r"<code\b.*?(?:</code\s*>|\Z)", re.S | re.I)
 _INDENTED = re.compile(r"^ {4}.*$", re.M)
 
 
 def _kind(p: int) -> str:
-    """Class of a code point: l/u Latin, c/C Cyrillic, g Greek, j East Asian, d digit, p ordinary punctuation, s symbol, x never in text."""
+    """Class of a code point: l/u Latin, c/C Cyrillic, g/G Greek, j East Asian, d digit, p ordinary punctuation, s symbol, x never in text."""
     if p < 0x80:
         ch = chr(p)
         return "l" if "a" <= ch <= "z" else "u" if "A" <= ch <= "Z" else "d" if ch.isdigit() else "p"
@@ -98,11 +122,11 @@ def _kind(p: int) -> str:
         return "s"
     if p < 0x250:
         return "l" if ch.islower() else "u"
-    if 0x370 <= p < 0x400:
-        return "g"
+    if 0x370 <= p < 0x400 and ch.isalpha():
+        return "g" if ch.islower() else "G"
     if 0x400 <= p < 0x460:
         return "c" if ch.islower() else "C"
-    if 0x3000 <= p < 0x3100 or 0x4E00 <= p < 0xA000 or 0xFF00 <= p < 0xFFF0:
+    if 0x3000 <= p < 0x3100 or 0x4E00 <= p < 0xA000 or 0xAC00 <= p < 0xD7A4 or 0xFF00 <= p < 0xFFF0:
         return "j"
     if 0x2500 <= p < 0x2600:
         return "x"
@@ -110,10 +134,10 @@ def _kind(p: int) -> str:
 
 
 _kinds: dict[str, str] = {}
-_LETTERS = frozenset("lucCgjo")
-_SCRIPT = {"l": 1, "u": 1, "c": 2, "C": 2, "g": 3, "j": 4, "o": 5}
+_LETTERS = frozenset("lucCgGjo")
+_SCRIPT = {"l": 1, "u": 1, "c": 2, "C": 2, "g": 3, "G": 3, "j": 4, "o": 5}
 #: cost of a lone character; Latin letters beyond ASCII are ordinary, capitals of them less so
-_RARE = {k: 0.3 * max(0.0, math.log2(6 / f)) for k, f in _RUSSIAN.items()}
+_RARE = {k: 0.3 * max(0.0, math.log2(6 / f)) for k, f in (_RUSSIAN | _GREEK).items()}
 _VOWELS = frozenset("аеёиоуыэюяАЕЁИОУЫЭЮЯ")
 _INSIDE = frozenset("’‘·-'‐‑")  # may stand between letters
 _ALONE = frozenset("ÂÃÐÑ")  # no words by themselves, but what a misread 'à' leaves before U+00A0
@@ -124,6 +148,7 @@ def cost(text: str) -> float:
     total, before, prev = 0.0, "p", ""
     latin_high = 0  # run of Latin letters beyond ASCII
     consonants = 0  # run of Cyrillic consonants
+    greek, greek_alone, others = 0.0, 0.0, False  # cost of Greek letters beside other scripts, and by themselves
     for n, ch in enumerate(text):
         k = _kinds.get(ch)
         if k is None:
@@ -133,8 +158,9 @@ def cost(text: str) -> float:
                 total += 5
             elif k == "s":
                 total += 3
-            elif k == "g":
-                total += 2
+            elif k in "gG":
+                greek += 2
+                greek_alone += _RARE.get(ch.lower(), 2.5) + 0.1
             elif k == "o":
                 total += 2.5
             elif k == "p":
@@ -142,7 +168,7 @@ def cost(text: str) -> float:
                 # ordinary marks, but not next to letters in the middle of a word
                 if ch not in _INSIDE and before in _LETTERS and before != "j" and n + 1 < len(text):
                     nk = _kinds.get(text[n + 1]) or _kind(ord(text[n + 1]))
-                    if nk in "lucCgox" or (nk in "ps" and text[n + 1] >= "\x80"):
+                    if nk in "lucCgGox" or (nk in "ps" and text[n + 1] >= "\x80"):
                         total += 2
                 if before in "ps" and prev >= "\x80":
                     total += 0.6
@@ -153,7 +179,7 @@ def cost(text: str) -> float:
             elif k in "cC":
                 total += _RARE.get(ch.lower(), 2.5) + 0.1
             elif k == "j":
-                total += 0.1 if "\u3000" <= ch < "\u3100" or ch >= "\uff00" else 1.2
+                total += 0.1 if "\u3000" <= ch < "\u3100" or "\uff00" <= ch < "\uff61" else 1.2 if ch in _COMMON else 2.6
             elif k == "u":
                 total += 1.0
             else:
@@ -162,7 +188,7 @@ def cost(text: str) -> float:
             a, b = _SCRIPT[before], _SCRIPT[k]
             if a != b:
                 total += 1.5 if 4 in (a, b) else 4
-            elif k in "uC" and before in "lc" and (ch >= "\x80" or prev >= "\x80"):
+            elif k in "uCG" and before in "lcg" and (ch >= "\x80" or prev >= "\x80"):
                 total += 2.5
         if k in "lu" and ch >= "\x80":
             latin_high += 1
@@ -176,8 +202,9 @@ def cost(text: str) -> float:
                 total += 0.8
         else:
             consonants = 0
+        others = others or k in "lucCjo"
         before, prev = k, ch
-    return total
+    return total + (greek if others else greek_alone)
 
 
 _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -209,23 +236,33 @@ def _steps(text: str):
         t = _utf8_pieces(text, charset)
         if t is not None:
             yield t, 0.3
+    if _HAS_EAST.search(text):
+        for charset in _EASTERN:
+            try:
+                yield text.encode(charset).decode("utf-8"), 0.3
+            except UnicodeError:
+                continue
     points = {ord(c) for c in text if c >= "\x80"}
     for swap in _SWAPS:
         if points <= swap.keys():
             yield text.translate(swap), 0.6
 
 
-def search(token: str, limit: int = 24, depth: int = 4, slack: float = 1.0) -> tuple[str, float, float]:
-    """Cheapest text reachable from ``token``: (text, its cost, cost of the token itself)."""
+def search(token: str, limit: int | None = 24, depth: int = 4, slack: float = 1.0) -> tuple[str, float, float]:
+    """Cheapest text reachable from ``token``: (text, its cost, cost of the token itself).
+
+    With ``limit`` None every text is expanded that could still lead to a cheaper one.
+    """
     start = cost(token)
     best, best_cost = token, start
     seen = {hash(token)}
     heap = [(start, 0, 0.0, token)]
-    while heap and limit:
-        limit -= 1
+    expanded = 0
+    while heap and (limit is None or expanded < limit):
         _, d, paid, text = heapq.heappop(heap)
-        if d == depth:
+        if d == depth or paid + 0.3 >= best_cost:  # a step costs 0.3 at least: nothing cheaper lies beyond
             continue
+        expanded += 1
         for t, price in _steps(text):
             if (h := hash(t)) in seen:
                 continue
@@ -241,6 +278,8 @@ def search(token: str, limit: int = 24, depth: int = 4, slack: float = 1.0) -> t
 #: how much cheaper the reachable text has to be: in all, and per letter where both are Cyrillic
 MARGIN, CYRILLIC_MARGIN, CYRILLIC_PER_LETTER = 2.0, 2.5, 0.3
 _CYRILLIC = re.compile(r"[Ѐ-џ]")
+#: German letters named by themselves
+_UMLAUTS = re.compile(r"[!-/:-@]*[ÄÖÜäöüß]+[!-/:-@]*")
 _found: dict[str, str | None] = {}
 
 
@@ -254,7 +293,7 @@ def repair(token: str) -> str | None:
     plain = html.unescape(token) if "&" in token else token
     if "�" in plain:
         out = token
-    elif not _EAST.fullmatch(plain) and cost(plain) >= 1.5:
+    elif not _EAST.fullmatch(plain) and not _UMLAUTS.fullmatch(plain) and cost(plain) >= 1.5:  # less is under the margin
         text, c, start = search(plain)
         gain = start - c
         if text != plain and gain >= MARGIN:

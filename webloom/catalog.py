@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
 from webloom.functions.fingerprint import with_fingerprint
 from webloom.operators import cookies, crawl, dom, frontier, heavy_keys, links, loader, media, policies, robots, stats, throttle
 from webloom.plans import chain
-from webloom.runtime import scratch_dir, table
+from webloom.runtime import scratch_path, table
 from webloom.sinks import exporters
 from webloom.sources import feeds, stores
 from webloom.streaming import ops as streams
@@ -105,7 +103,7 @@ _FIRST = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDE
 @query(f"WITH {_QUEUE}, {_FIRST} SELECT request_id, fp, row_number() OVER (ORDER BY priority DESC, seq) AS position FROM f")
 def scheduler_order(spark, d):
     """Component scheduler: first request of each fingerprint, higher priority first, first in first out."""
-    first = frontier.keep_first(_queue(spark, d), "fp", ["seq"])
+    first = frontier.keep_first(_queue(spark, d), "fp", ["seq"], unique_order=True)
     return frontier.ranked(first, separate_start=False).select("request_id", "fp", "position")
 
 
@@ -122,7 +120,7 @@ def scheduler_memory_first(spark, d):
 
 @query(f"WITH {_QUEUE}, {_FIRST} SELECT request_id, CAST(priority AS VARCHAR) AS priority FROM f ORDER BY f.priority DESC, seq LIMIT 25")
 def scheduler_topk(spark, d):
-    first = frontier.keep_first(_queue(spark, d), "fp", ["seq"])
+    first = frontier.keep_first(_queue(spark, d), "fp", ["seq"], unique_order=True)
     return frontier.pop(first, 25, separate_start=False).select("request_id", F.col("priority").cast("string").alias("priority"))
 
 
@@ -141,12 +139,12 @@ def dupefilter_seen(spark, d):
 
 @query(f"WITH {_KEYS} SELECT seq, slot, depth, fp FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY seq) AS n FROM a WHERE fp <> '') WHERE n = 1 AND fp NOT IN (SELECT fingerprint FROM seen_keys)")
 def dupefilter_pass(spark, d):
-    return frontier.filter_duplicates(_arrivals(spark, d), table(spark, d, "seen_keys").withColumnRenamed("fingerprint", "fp"))
+    return frontier.filter_duplicates(_arrivals(spark, d), table(spark, d, "seen_keys").withColumnRenamed("fingerprint", "fp"), unique_order=True)
 
 
 @query(f"WITH {_KEYS} SELECT seq FROM a WHERE depth = 0 UNION ALL SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY fp ORDER BY seq) AS n FROM a WHERE fp <> '' AND depth <> 0) WHERE n = 1")
 def dupefilter_bypass(spark, d):
-    return frontier.filter_duplicates(_arrivals(spark, d), bypass=F.col("depth") == 0).select("seq")
+    return frontier.filter_duplicates(_arrivals(spark, d), bypass=F.col("depth") == 0, unique_order=True).select("seq")
 
 
 @query(f"WITH {_KEYS} SELECT count(*) AS n_seen FROM (SELECT fp FROM a WHERE fp <> '' UNION SELECT fingerprint FROM seen_keys)")
@@ -292,7 +290,9 @@ def response_encodings(spark, d):
     return table(spark, d, "responses").join(ct, "fingerprint", "left").select("response_id", feeds.declared_encoding(F.col("ct"), F.col("body")).alias("encoding"))
 
 
-@query()
+@query(r"""WITH h AS (SELECT fingerprint, header_id AS seq, decode(value) AS v FROM headers WHERE lower(name) = 'set-cookie'), r AS (SELECT fingerprint, min(url) AS url, min(stored_at) AS ts FROM responses WHERE url IS NOT NULL GROUP BY fingerprint),
+  x AS (SELECT lower(regexp_extract(trim(url, ' ' || chr(10)), '^[A-Za-z]+://([^/?#:]*)', 1)) AS domain, regexp_extract(v, '^([^=]*)=', 1) AS name, regexp_extract(v, '=([^;]*)', 1) AS value, coalesce(ts, 0) AS ts, seq FROM h JOIN r USING (fingerprint))
+  SELECT 'default' AS jar, name, max_by(value, (ts, seq)) AS value, domain, '/' AS path, false AS secure, true AS host_only, CAST(NULL AS DOUBLE) AS expires FROM x GROUP BY domain, name""")
 def cookie_jars(spark, d):
     h = table(spark, d, "headers").filter(F.lower("name") == "set-cookie").select("fingerprint", F.col("header_id").alias("seq"), F.col("value").cast("string").alias("set_cookie"))
     r = table(spark, d, "responses").filter("url is not null").groupBy("fingerprint").agg(F.min("url").alias("url"), F.min("stored_at").alias("ts"))
@@ -320,22 +320,20 @@ def link_rules(spark, d):
     return links.apply_rules(_pages(spark, d), rules).select("page_id", "rule", "url", "link_text", "callback", "follow")
 
 
-@query(r"""SELECT response_id AS page_id, regexp_extract(decode(body), '(?s)<h1[^>]*>([^<&]*)</h1>', 1) AS title FROM responses WHERE regexp_matches(decode(body), '(?s)<h1[^>]*>[^<&]+</h1>') AND NOT regexp_matches(decode(body), '(?s)<h1[^>]*>.*<h1') AND body IS NOT NULL AND url IS NOT NULL""")
-def css_headlines(spark, d):
-    """Only the pages the SQL can speak of: one <h1>, without references and tags inside; ``css_headlines_all`` has every page."""
-    pages = _pages(spark, d)
-    plain = pages.filter(F.col("html").rlike(r"(?s)<h1[^>]*>[^<&]+</h1>") & ~F.col("html").rlike(r"(?s)<h1[^>]*>.*<h1"))
-    return dom.css(dom.nodes(plain), "h1::text").select("page_id", F.col("value").alias("title"))
+_NESTED = "regexp_replace(h, '<([a-z]+)[^<>]*>[^<]*</[a-z]+>', '', 'g')"
 
 
-@query()
-def css_headlines_all(spark, d):
+@query(rf"""WITH t AS (SELECT response_id AS page_id, unnest(regexp_extract_all(regexp_replace(decode(body), '(?s)<!--.*?-->|<script.*?</script>', '', 'g'), '(?s)<h1\b[^>]*>(.*?)</h1>', 1)) AS h FROM responses WHERE url IS NOT NULL AND body IS NOT NULL)
+  SELECT page_id, replace(replace(replace(replace({_NESTED}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM t WHERE {_NESTED} <> ''""")
+def css_headlines(spark, d):
     return dom.css(dom.nodes(_pages(spark, d)), "h1::text").select("page_id", F.col("value").alias("title"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT response_id AS page_id, list_transform(regexp_extract_all(decode(body), '(?s)<aside\b.*?</aside>'), lambda a: regexp_extract_all(a, '<a\b[^>]*?\bhref="([^"]*)"', 1)) AS h FROM responses WHERE url IS NOT NULL AND body IS NOT NULL)
+  SELECT page_id, array_to_string(flatten(h), ' ') AS hrefs FROM p WHERE len(flatten(h)) > 0""")
 def xpath_related(spark, d):
-    return dom.collected(dom.xpath(dom.nodes(_pages(spark, d)), "//aside//a/@href"))
+    found = dom.collected(dom.xpath(dom.nodes(_pages(spark, d)), "//aside//a/@href"))
+    return found.select("page_id", F.array_join("values", " ").alias("hrefs"))
 
 
 @query()
@@ -369,31 +367,48 @@ sitemap: http://else.test/s.xml
 """
 
 
+#: the file of every third origin; a third has none
+_ROBOTS_ALL = """user-agent: *
+disallow: /
+allow: /kiln
+"""
+
+
 def _robots(spark, d):
     o = table(spark, d, "responses").filter("url is not null").select(urls.origin(F.col("url")).alias("origin")).distinct()
-    return o.withColumn("body", F.lit(_ROBOTS))
+    n = F.length("origin") % 3
+    return o.withColumn("body", F.when(n == 0, _ROBOTS).when(n == 1, _ROBOTS_ALL))
 
 
-@query(r"""SELECT response_id, NOT (starts_with(p, '/kiln') AND NOT starts_with(p, '/kiln/kettle')) AS allowed FROM (SELECT response_id, regexp_extract(trim(url, ' ' || chr(10)), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p FROM responses WHERE url IS NOT NULL)""")
-def robots_longest_match(spark, d):
-    r = table(spark, d, "responses").filter("url is not null").select("response_id", "url")
-    return robots.check(r, _robots(spark, d), "webloom").select("response_id", "allowed")
+_ORIGIN_OF = r"""s || '://' || h || CASE WHEN p = '' OR (s = 'http' AND p = '80') OR (s = 'https' AND p = '443') THEN '' ELSE ':' || p END AS origin FROM
+  (SELECT *, lower(regexp_extract(u, '^([A-Za-z]+):', 1)) AS s, lower(regexp_extract(u, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h, regexp_extract(u, '^[A-Za-z]+://[^/?#:]*:([0-9]+)', 1) AS p FROM
+  (SELECT response_id, trim(url, ' ' || chr(10)) AS u FROM responses WHERE url IS NOT NULL))"""
+_ORIGINS = f"o AS (SELECT DISTINCT origin FROM (SELECT {_ORIGIN_OF}))"
 
 
-_ORIGINS = r"""o AS (SELECT DISTINCT s || '://' || h || CASE WHEN p = '' OR (s = 'http' AND p = '80') OR (s = 'https' AND p = '443') THEN '' ELSE ':' || p END AS origin FROM
-  (SELECT lower(regexp_extract(u, '^([A-Za-z]+):', 1)) AS s, lower(regexp_extract(u, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h, regexp_extract(u, '^[A-Za-z]+://[^/?#:]*:([0-9]+)', 1) AS p FROM (SELECT trim(url, ' ' || chr(10)) AS u FROM responses WHERE url IS NOT NULL)))"""
+@query(rf"""WITH r AS (SELECT response_id, regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS t, {_ORIGIN_OF})
+  SELECT response_id, CASE length(origin) % 3 WHEN 0 THEN NOT (starts_with(t, '/kiln') AND NOT starts_with(t, '/kiln/kettle')) WHEN 1 THEN starts_with(t, '/kiln') ELSE true END AS allowed FROM r""")
+def robots_longest_match(spark, d):
+    r = table(spark, d, "responses").filter("url is not null").select("response_id", "url")
+    return robots.check(r, _robots(spark, d), "webloom/1.0 (+http://webloom.test)").select("response_id", "allowed")
 
 
-@query(f"WITH {_ORIGINS} SELECT origin, 1.5 AS delay FROM o")
+@query(f"WITH {_ORIGINS} SELECT origin, 1.5 AS delay FROM o WHERE length(origin) % 3 = 0")
 def robots_crawl_delays(spark, d):
-    return robots.crawl_delays(_robots(spark, d), "webloom")
+    return robots.crawl_delays(_robots(spark, d), "webloom/1.0")
 
 
-@query(f"WITH {_ORIGINS} SELECT origin, origin || '/sitemap.xml' AS url FROM o UNION ALL SELECT origin, 'http://else.test/s.xml' FROM o")
+@query(f"WITH {_ORIGINS} SELECT origin, origin || '/sitemap.xml' AS url FROM o WHERE length(origin) % 3 = 0 UNION ALL SELECT origin, 'http://else.test/s.xml' FROM o WHERE length(origin) % 3 = 0")
 def robots_sitemaps(spark, d):
     return robots.sitemaps(_robots(spark, d))
 
 
+@query(f"WITH {_ORIGINS} SELECT origin, origin || '/robots.txt' AS url FROM o WHERE length(origin) % 3 <> 0")
+def robots_to_fetch(spark, d):
+    known = _robots(spark, d).filter(F.length("origin") % 3 == 0)
+    return robots.to_fetch(table(spark, d, "responses").filter("url is not null"), known)
+
+
 # --- heavy keys -------------------------------------------------------------------------------------------------------
 
 
@@ -478,11 +493,14 @@ def _slot_events(spark, d):
     return e.select(F.col("user_id").alias("slot"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("latency"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.lit(True).alias("adjust"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id AS slot, value / 100 AS lat, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS st, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+_THROTTLE_SQL = """WITH RECURSIVE e AS (SELECT user_id AS slot, value / 100 AS lat, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS st, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
   f(slot, n, delay, ign) AS (SELECT DISTINCT slot, CAST(0 AS BIGINT), CAST(5.0 AS DOUBLE), 0 FROM e UNION ALL
     SELECT f.slot, e.n, CASE WHEN lat IS NULL OR (st <> 200 AND least(greatest(lat, (delay + lat) / 2, 0.1), 60.0) <= delay) THEN delay ELSE least(greatest(lat, (delay + lat) / 2, 0.1), 60.0) END,
       ign + CASE WHEN lat IS NULL OR (st <> 200 AND least(greatest(lat, (delay + lat) / 2, 0.1), 60.0) <= delay) THEN 1 ELSE 0 END FROM f JOIN e ON e.slot = f.slot AND e.n = f.n + 1)
-  SELECT slot, round(max_by(delay, n), 6) AS delay, max(ign) AS ignored FROM f GROUP BY slot""")
+  SELECT slot, round(max_by(delay, n), 6) AS delay, max(ign) AS ignored FROM f GROUP BY slot"""
+
+
+@query(_THROTTLE_SQL)
 def autothrottle(spark, d):
     return throttle.auto_throttle(_slot_events(spark, d), least=0.1).select("slot", F.round("delay", 6).alias("delay"), "ignored")
 
@@ -493,12 +511,6 @@ def slot_start_times(spark, d):
     return throttle.start_times(_slot_events(spark, d), 900.0).select("seq", F.round("start", 3).alias("start"))
 
 
-@query("""WITH e AS (SELECT event_id AS seq, user_id, epoch(ts) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
-  SELECT seq, round(i * 900 + max(ts - i * 900) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), 3) AS start FROM e""")
-def slot_start_times_blocks(spark, d):
-    return throttle.start_times_salted(_slot_events(spark, d), 900.0, 86400.0).select("seq", F.round("start", 3).alias("start"))
-
-
 # --- fixed point ----------------------------------------------------------------------------------------------------------------
 
 
@@ -592,9 +604,9 @@ def media_paths(spark, d):
     return table(spark, d, "responses").filter("url is not null").select("response_id", media.file_path(F.col("url")).alias("path"), media.thumb_path(F.col("url"), "small").alias("thumb"))
 
 
-@query("""WITH e AS (SELECT response_id % 50 AS item_id, response_id, fingerprint AS fp FROM responses WHERE url IS NOT NULL) SELECT item_id, count(*) AS files, count(DISTINCT fp) AS different FROM e WHERE substr(fp, 1, 1) <> '0' GROUP BY item_id""")
+@query("""WITH e AS (SELECT response_id // 20 AS item_id, response_id, fingerprint AS fp FROM responses WHERE url IS NOT NULL) SELECT item_id, count(*) AS files, count(DISTINCT fp) AS different FROM e WHERE substr(fp, 1, 1) <> '0' GROUP BY item_id""")
 def media_items(spark, d):
-    items = table(spark, d, "responses").filter("url is not null").groupBy((F.col("response_id") % 50).alias("item_id")).agg(F.collect_list("url").alias("file_urls"))
+    items = table(spark, d, "responses").filter("url is not null").groupBy(F.expr("response_id div 20").alias("item_id")).agg(F.collect_list("url").alias("file_urls"))
     fetched = media.downloads(items).filter(~F.col("fp").startswith("0")).select("fp", F.col("fp").alias("path"), F.md5("url").alias("checksum"), F.lit("downloaded").alias("status"))
     done = media.completed(items, fetched)
     return done.filter(F.size("files") > 0).select("item_id", F.size("files").cast("long").alias("files"), F.size(F.array_distinct(F.transform("files", lambda f: f["path"]))).cast("long").alias("different"))
@@ -611,8 +623,7 @@ def _stream(spark, d):
 
 
 def _drained(spark, stream, name, mode="append"):
-    tag = uuid.uuid4().hex[:8]
-    return streams.drain(stream, f"{name}_{tag}", f"{scratch_dir(spark)}/{name}-{tag}", mode)
+    return streams.drain(stream, scratch_path(spark, name), scratch_path(spark, name + "-checkpoint"), mode)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events WHERE user_id IS NOT NULL")
@@ -635,7 +646,7 @@ def stream_sessions(spark, d):
     return out.select("slot", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query()
+@query(_THROTTLE_SQL)
 def stream_throttle(spark, d):
     e = _stream(spark, d).select(F.col("user_id").alias("slot"), "ts", F.col("event_id").alias("seq"), (F.col("value") / 100).alias("latency"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.lit(True).alias("adjust"))
     return _drained(spark, streams.throttle(e, least=0.1), "stream_throttle").select("slot", F.round("delay", 6).alias("delay"), "ignored")

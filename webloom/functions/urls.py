@@ -45,6 +45,24 @@ def quote(c: Column, safe: str) -> Column:
     return F.when(c.rlike(f"^[{safe}]*$"), c).otherwise(slow)
 
 
+def safe(url: Column) -> Column:
+    """An address as a request holds it: no control characters or blanks around it, unsafe characters percent-encoded, the host in ASCII.
+
+    Escapes that are there stay as they are; what has no scheme is quoted as a path with query and fragment.
+    """
+    u = clean(url)
+    part = lambda i: F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+\-.]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$", i)
+    loc = part(2)
+    user = F.regexp_extract(loc, r"^(//[\s\S]*@)", 1)
+    host = F.regexp_extract(loc, r"([^@/]*)$", 1)
+    ascii_host = F.when(host.rlike(r"[^\x00-\x7f]"), F.coalesce(F.call_function("try_reflect", F.lit("java.net.IDN"), F.lit("toASCII"), host), host)).otherwise(host)
+    slow = F.concat(
+        part(1), F.when(loc == "", "").when(user == "", F.concat(F.lit("//"), ascii_host)).otherwise(F.concat(quote(user, PATH_SAFE), ascii_host)),
+        quote(part(3), PATH_SAFE), quote(part(4), PATH_SAFE), quote(part(5), FRAGMENT_SAFE),
+    )
+    return F.when(u.rlike(f"^[{FRAGMENT_SAFE}]*$"), u).otherwise(slow)
+
+
 def canonical_path(path: Column) -> Column:
     """Escapes are resolved (but for / and ?) and set anew; an empty path becomes /."""
 
@@ -164,14 +182,15 @@ def path(url: Column) -> Column:
     return F.regexp_extract(clean(url), _PARTS, 3)
 
 
-def _default_port(s: Column) -> Column:
+def port_of(s: Column) -> Column:
+    """The port a scheme has by itself; '' for others."""
     return F.coalesce(*[F.when(s == k, v) for k, v in DEFAULT_PORTS.items()], F.lit(""))
 
 
 def origin(url: Column) -> Column:
     """scheme://host[:port], the port left out where it is the scheme's own."""
     s, p = scheme(url), port(url)
-    return F.concat(s, F.lit("://"), hostname(url), F.when((p == "") | (p == _default_port(s)), "").otherwise(F.concat(F.lit(":"), p)))
+    return F.concat(s, F.lit("://"), hostname(url), F.when((p == "") | (p == port_of(s)), "").otherwise(F.concat(F.lit(":"), p)))
 
 
 def robots_url(url: Column) -> Column:
@@ -190,7 +209,7 @@ def strip(url: Column, credentials: bool = True, default_port: bool = True, orig
     if credentials or origin_only:
         loc = F.regexp_extract(loc, r"([^@]*)$", 1)
     if default_port:
-        loc = F.when(F.regexp_extract(loc, r":(\d+)$", 1) == _default_port(s), F.regexp_replace(loc, r":\d+$", "")).otherwise(loc)
+        loc = F.when(F.regexp_extract(loc, r":(\d+)$", 1) == port_of(s), F.regexp_replace(loc, r":\d+$", "")).otherwise(loc)
     tail = F.lit("/") if origin_only else F.concat(path(url), F.regexp_extract(u, _PARTS, 4), F.lit("") if fragment else F.regexp_extract(u, _PARTS, 5))
     return F.when(u.rlike(_PARTS), F.concat(s, F.lit("://"), loc, tail))
 
@@ -283,9 +302,14 @@ def resolve(df: DataFrame, base: str, ref: str, out: str) -> DataFrame:
     return d.withColumn(out, _resolved(**c)).drop(*[f"_{k}" for k in c])
 
 
+def _form_text(c: Column) -> Column:
+    """A name or value of a form: blanks as +, all but letters, digits and ``-._~`` percent-encoded."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def form_encode(pairs: Column) -> Column:
     """application/x-www-form-urlencoded text of an array of structs k, v; null values count as ''."""
-    return F.array_join(F.transform(pairs, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(F.coalesce(p["v"], F.lit(""))))), "&")
+    return F.array_join(F.transform(pairs, lambda p: F.concat(_form_text(p["k"]), F.lit("="), _form_text(F.coalesce(p["v"], F.lit(""))))), "&")
 
 
 def has_nofollow(rel: Column) -> Column:

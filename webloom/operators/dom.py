@@ -276,3 +276,20 @@ def xpath(dom: DataFrame, query: str, under: DataFrame | None = None) -> DataFra
 def collected(found: DataFrame, value: str = "value") -> DataFrame:
     """``page_id, values`` in document order: what getall gives; its first element is what get gives."""
     return found.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", F.col(value).alias("v")))), lambda x: x["v"]).alias("values"))
+
+
+def first(found: DataFrame, value: str = "value", default: str | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """``page_id, value`` of the first hit of each page; with ``pages`` every page has a row, ``default`` where it has no hit."""
+    got = found.groupBy("page_id").agg(F.min_by(value, "pre").alias("value"))
+    return got if pages is None else pages.select("page_id").join(got, "page_id", "left").withColumn("value", F.coalesce("value", F.lit(default)))
+
+
+def matches(found: DataFrame, pattern: str, value: str = "value") -> DataFrame:
+    """``page_id, pre, at, value``: matches of a pattern in each hit, its first group if it has one; the first of them is what re_first gives."""
+    got = F.regexp_extract_all(F.col(value), F.lit(pattern), F.lit(min(1, re.compile(pattern).groups)))
+    return found.select("page_id", "pre", F.posexplode(got).alias("at", "value"))
+
+
+def attributes(found: DataFrame) -> DataFrame:
+    """``page_id, attrs`` of the first hit of each page."""
+    return found.groupBy("page_id").agg(F.min_by("attrs", "pre").alias("attrs"))

@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 from webloom.runtime import materialize
 
 
-def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def keep_first(df: DataFrame, key: str, order: list[str], unique_order: bool = False) -> DataFrame:
     """First row of each key in the order of the columns; null keys are no keys and are left out.
 
-    ``order`` must be total. The row travels through the aggregate as one struct, so a hot key is combined
-    before the shuffle.
+    ``order`` must be total. With ``unique_order`` no two rows of the whole table share it: then only (key, order) is
+    aggregated, by hash, and the rest of the row joins on the order. Otherwise the row travels through the aggregate as
+    one struct. Either way a hot key is combined before the shuffle.
     """
+    if unique_order and len(order) == 1:
+        first = df.filter(F.col(key).isNotNull() & F.col(order[0]).isNotNull()).groupBy(key).agg(F.min(order[0]).alias(order[0]))
+        return df.drop(key).join(first, order[0]).select(*df.columns)
     row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in df.columns if c not in order])
-    best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_o"), F.min_by(row, F.struct(*[F.col(c) for c in order])).alias("_r"))
+    best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, F.struct(*[F.col(c) for c in order])).alias("_r"))
     return best.select(*[F.col("_r")[c].alias(c) for c in df.columns])
 
 
@@ -33,13 +37,13 @@ def seen_flags(df: DataFrame, key: str, order: str) -> DataFrame:
     return j.withColumn("seen", F.col(key).isNotNull() & F.col("_is_first").isNull()).drop("_is_first").select(*df.columns, "seen")
 
 
-def filter_duplicates(requests: DataFrame, seen: DataFrame | None = None, key: str = "fp", order: str = "seq", bypass: Column | None = None) -> DataFrame:
+def filter_duplicates(requests: DataFrame, seen: DataFrame | None = None, key: str = "fp", order: str = "seq", bypass: Column | None = None, unique_order: bool = False) -> DataFrame:
     """Requests that pass the duplicate filter: the first of each fingerprint that is not in ``seen``.
 
-    Rows for which ``bypass`` holds pass untested and are not remembered.
+    Rows for which ``bypass`` holds pass untested and are not remembered. ``unique_order``: see ``keep_first``.
     """
     tested = requests if bypass is None else requests.filter(~F.coalesce(bypass, F.lit(False)))
-    first = keep_first(tested, key, [order])
+    first = keep_first(tested, key, [order], unique_order)
     if seen is not None:
         first = first.join(seen.select(key).distinct(), key, "left_anti")
     first = first.select(*requests.columns)
@@ -87,11 +91,24 @@ def ranked(queue: DataFrame, **how) -> DataFrame:
     numbered = materialize(parts.withColumn("_id", F.monotonically_increasing_id()), "ranked")
     numbered = numbered.withColumn("_part", F.shiftright("_id", 33).cast("int")).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n")).collect()  # one row per partition
-    before, total = {}, 0
+    before, total = [], 0
     for r in sorted(sizes, key=lambda r: r["_part"]):
-        before[r["_part"]] = total
+        before.append((r["_part"], total))
         total += r["_n"]
-    if not before:
-        return queue.withColumn("position", F.lit(0).cast("long")).limit(0)
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part"))
-    return numbered.withColumn("position", (offset + F.col("_at") + 1).cast("long")).drop("_id", "_part", "_at")
+    offsets = F.broadcast(spark.createDataFrame(before, "_part int, _before long"))
+    return numbered.join(offsets, "_part").withColumn("position", (F.col("_before") + F.col("_at") + 1).cast("long")).drop("_id", "_part", "_at", "_before")
+
+
+def admit(queue: DataFrame, active: DataFrame | None = None, concurrency: int = 16, per_slot: int = 8, **how) -> DataFrame:
+    """The requests of ``queue`` (slot, ...) to start now: first ``per_slot`` less the active ones of each slot, of these ``concurrency`` less all active ones, in scheduling order.
+
+    ``active``: slot of each request under way. Ranks are cut per slot before the shuffle, so a hot slot costs a few rows per task.
+    """
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("slot").orderBy(*order_keys(**how)))
+    if active is None:
+        return pop(queue.withColumn("_r", rank).filter(F.col("_r") <= per_slot).drop("_r"), concurrency, **how)
+    busy = active.groupBy("slot").agg(F.count("*").alias("_busy"))
+    free = queue.withColumn("_r", rank).filter(F.col("_r") <= per_slot).join(busy, "slot", "left").filter(F.col("_r") <= per_slot - F.coalesce("_busy", F.lit(0)))
+    return pop(free.drop("_r", "_busy"), max(0, concurrency - active.count()), **how)

@@ -62,40 +62,73 @@ def retried(requests: DataFrame, adjust: int = -1) -> DataFrame:
 _REDIRECTS = (301, 302, 303, 307, 308)
 
 
+#: headers that describe a body and go with it
+BODY_HEADERS = ("Content-Type", "Content-Length", "Content-Encoding", "Content-Language", "Content-Location")
+
+
 def redirect(df: DataFrame, most: int = 20, adjust: int = 2) -> DataFrame:
     """The request a response redirects to: columns url, method, body, status, location, redirect_times, priority.
 
-    Adds ``target`` (null where the response is no redirect to follow), ``new_method``, ``new_body``,
-    ``drop_headers`` (names not to be sent on) and ``outcome``: none, follow, unsupported or too_many.
+    If there, ``dont_redirect`` (boolean), ``handle_statuses`` (array: statuses the callback takes), ``redirect_ttl``, ``redirect_urls`` and
+    ``redirect_reasons`` count as well. Adds ``target`` (null where the response is no redirect to follow), ``new_method``, ``new_body``,
+    ``drop_headers`` (names not to be sent on), ``outcome`` (none, follow, unsupported or too_many) and the new values of the histories.
     """
-    df = urls.resolve(df, "url", "location", "_joined")
-    df = df.withColumn("_target", F.when(F.col("_joined").contains("#"), F.col("_joined")).otherwise(F.concat("_joined", F.regexp_extract("url", r"(#[\s\S]*)$", 1))))
-    df = df.withColumns({"_ts": urls.scheme(F.col("_target")), "_th": urls.hostname(F.col("_target"))})
-    target = F.col("_target")
+    df = urls.resolve(df.withColumn("_loc", F.trim("location")), "url", "_loc", "_joined").drop("_loc")
     is_redirect = F.col("status").isin(*_REDIRECTS) & F.col("location").isNotNull() & (F.trim("location") != "")
-    followable = F.col("_ts").isin("http", "https")
-    outcome = F.when(~F.coalesce(is_redirect, F.lit(False)), "none").when(~followable, "unsupported").when(F.coalesce("redirect_times", F.lit(0)) + 1 > most, "too_many").otherwise("follow")
-    method = F.upper("method")
-    to_get = ((F.col("status") == 303) & ~method.isin("GET", "HEAD")) | (F.col("status").isin(301, 302) & (method == "POST"))
-    cross_host = F.col("_th") != urls.hostname(F.col("url"))
-    weaker = (urls.scheme(F.col("url")) == "https") & (F.col("_ts") == "http")
+    if "dont_redirect" in df.columns:
+        is_redirect = is_redirect & ~F.coalesce("dont_redirect", F.lit(False))
+    if "handle_statuses" in df.columns:
+        is_redirect = is_redirect & ~F.coalesce(F.array_contains("handle_statuses", F.col("status")), F.lit(False))
+    to_get = ((F.col("status") == 303) & ~F.upper("method").isin("GET", "HEAD")) | (F.col("status").isin(301, 302) & (F.upper("method") == "POST"))
+    return _redirected(df, F.coalesce(is_redirect, F.lit(False)), to_get, F.col("status").cast("string"), most, adjust)
+
+
+def _redirected(df: DataFrame, applies: Column, to_get: Column, reason: Column, most: int, adjust: int) -> DataFrame:
+    """``redirect`` and ``meta_refreshed`` for rows that ``applies`` holds for, to the address ``_joined``."""
+    here = df.columns
+    df = df.withColumns({"_applies": applies, "_get": to_get})
+    df = df.withColumn("_target", F.when(F.col("_joined").contains("#"), F.col("_joined")).otherwise(F.concat("_joined", F.regexp_extract("url", r"(#[\s\S]*)$", 1))))
+    df = df.withColumns({"_ts": urls.scheme(F.col("_target")), "_th": urls.hostname(F.col("_target")), "_s": urls.scheme(F.col("url")), "_h": urls.hostname(F.col("url"))})
+    times = F.coalesce("redirect_times", F.lit(0)) + 1
+    ttl = F.coalesce("redirect_ttl", F.lit(most)) if "redirect_ttl" in here else F.lit(most)
+    followable = F.col("_ts").isin("http", "https") | (F.col("_ts") == F.col("_s"))
+    outcome = F.when(~F.col("_applies"), "none").when(~F.coalesce(followable, F.lit(False)), "unsupported").when((times > most) | (ttl <= 0), "too_many").otherwise("follow")
+    cross_host = F.col("_th") != F.col("_h")
+    weaker = ~F.col("_ts").isin("https") & (F.col("_ts") != F.col("_s"))
+    port = lambda u: F.coalesce(F.nullif(urls.port(u), F.lit("")), urls.port_of(urls.scheme(u)))
+    other_origin = cross_host | (F.col("_ts") != F.col("_s")) | (port(F.col("url")) != port(F.col("_target")))
     empty = F.array().cast("array<string>")
+    names = lambda *n: F.array(*map(F.lit, n))
     drop = F.concat(
-        F.array(F.lit("Referer")),
-        F.when(to_get, F.array(F.lit("Content-Type"), F.lit("Content-Length"))).otherwise(empty),
-        F.when(cross_host, F.array(F.lit("Cookie"), F.lit("Authorization"))).when(weaker, F.array(F.lit("Cookie"))).otherwise(empty),
-    )
+        names("Referer"), F.when(F.col("_get"), names(*BODY_HEADERS)).otherwise(empty), F.when(cross_host | weaker, names("Cookie")).otherwise(empty),
+        F.when(other_origin, names("Authorization")).otherwise(empty),
+    )
     follow = F.col("outcome") == "follow"
+    history = lambda c, x: F.concat(F.coalesce(c, empty) if c in here else empty, F.array(x))
     return (
         df.withColumn("outcome", outcome)
-        .withColumn("target", F.when(follow, target))
-        .withColumn("new_method", F.when(follow, F.when(to_get, "GET").otherwise(method)))
-        .withColumn("new_body", F.when(follow & ~to_get, F.col("body")))
-        .withColumn("drop_headers", F.when(follow, drop))
-        .withColumn("new_priority", F.when(follow, F.col("priority") + adjust))
-        .withColumn("new_redirect_times", F.when(follow, F.coalesce("redirect_times", F.lit(0)) + 1))
-        .drop("_joined", "_target", "_ts", "_th")
-    )
+        .withColumns(
+            {
+                "target": F.when(follow, F.col("_target")), "new_method": F.when(follow, F.when(F.col("_get"), "GET").otherwise(F.upper("method"))), "new_body": F.when(follow & ~F.col("_get"), F.col("body")),
+                "drop_headers": F.when(follow, drop), "new_priority": F.when(follow, F.col("priority") + adjust), "new_redirect_times": F.when(follow, times), "new_redirect_ttl": F.when(follow, ttl - 1),
+                "new_redirect_urls": F.when(follow, history("redirect_urls", F.col("url"))), "new_redirect_reasons": F.when(follow, history("redirect_reasons", reason)),
+            }
+        )
+        .drop("_joined", "_target", "_ts", "_th", "_s", "_h", "_applies", "_get")
+    )
+
+
+def meta_refreshed(df: DataFrame, most: int = 20, adjust: int = 2, max_delay: float = 100.0, ignore: tuple = ("noscript",)) -> DataFrame:
+    """The request a page's meta refresh leads to, in the columns of ``redirect``: columns url, method, body, html, priority, redirect_times.
+
+    HTML answers (html is null for others) to other methods than HEAD count, with a delay under ``max_delay`` and an http(s) address; the
+    request becomes a GET, its reason is 'meta refresh'.
+    """
+    df = df.withColumn("_m", meta_refresh(F.substring("html", 1, 4096), F.col("url"), ignore)).withColumn("_joined", F.col("_m.url"))
+    ok = F.col("_m").isNotNull() & (F.col("_m.delay") < max_delay) & (F.upper("method") != "HEAD") & urls.scheme(F.col("url")).isin("http", "https") & urls.scheme(F.col("_joined")).isin("http", "https")
+    if "dont_redirect" in df.columns:
+        ok = ok & ~F.coalesce("dont_redirect", F.lit(False))
+    return _redirected(df, F.coalesce(ok, F.lit(False)), F.lit(True), F.lit("meta refresh"), most, adjust).drop("_m")
 
 
 def redirect_chains(edges: DataFrame, most: int = 20) -> DataFrame:
@@ -182,6 +215,66 @@ def basic_auth(user: Column, password: Column) -> Column:
     return F.concat(F.lit("Basic "), F.base64(F.encode(F.concat(user, F.lit(":"), password), "ISO-8859-1")))
 
 
+def with_request_defaults(requests: DataFrame, headers: dict[str, str] | None = None, user_agent: str | None = None, timeout: float | None = None, auth: tuple[str, str, str | None] | None = None) -> DataFrame:
+    """``requests`` (url, headers map) with what is set where a request has none: headers, user agent, ``download_timeout``, Basic auth.
+
+    ``auth``: user, password, domain (null: every host).
+    """
+    out = requests
+    base = {**(headers or {}), **({"User-Agent": user_agent} if user_agent else {})}
+    if base:
+        out = out.withColumn("headers", with_defaults(F.col("headers"), base))
+    if auth:
+        user, password, domain = auth
+        value = F.create_map(F.lit("authorization"), F.array(basic_auth(F.lit(user), F.lit(password)).cast("binary")))
+        here = ~F.map_contains_key("headers", "authorization")
+        if domain is not None:
+            here = here & urls.matches_domain(urls.hostname(F.col("url")), [domain])
+        out = out.withColumn("headers", F.when(here, F.map_concat("headers", value)).otherwise(F.col("headers")))
+    if timeout is not None:
+        own = F.coalesce("download_timeout", F.lit(float(timeout))) if "download_timeout" in requests.columns else F.lit(float(timeout))
+        out = out.withColumn("download_timeout", own)
+    return out
+
+
+#: Schemes a proxy may have.
+PROXY_SCHEMES = ("http", "https", "socks4", "socks4a", "socks5", "socks5h")
+
+
+def proxy_parts(proxy: Column, scheme: Column) -> Column:
+    """Struct (url, auth) of a proxy address: without credentials, and the value of Proxy-Authorization (null without).
+
+    A host by itself gets the request's scheme. Null where it is no proxy: unknown scheme, no host, a path or query, credentials
+    for a SOCKS4 proxy, a password without user.
+    """
+    p = F.when(proxy.contains("://"), proxy).otherwise(F.concat(F.coalesce(scheme, F.lit("http")), F.lit("://"), F.regexp_replace(proxy, "^//", "")))
+    s, host, port = urls.scheme(p), urls.hostname(p), urls.port(p)
+    cred = F.regexp_extract(urls.netloc(p), r"^([\s\S]*)@", 1)
+    user, password = F.regexp_extract(cred, "^([^:]*)", 1), F.regexp_extract(cred, "^[^:]*:([\\s\\S]*)$", 1)
+    shown = F.concat(s, F.lit("://"), F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host), F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)))
+    plus = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    ok = s.isin(*PROXY_SCHEMES) & (host != "") & urls.path(p).isin("", "/") & ~F.regexp_extract(p, r"^[^?#]*([\s\S]*)$", 1).rlike(".") & ~((cred != "") & s.isin("socks4", "socks4a")) & ((user != "") | (password == ""))
+    return F.when(ok, F.struct(shown.alias("url"), F.when(cred != "", basic_auth(plus(user), plus(password))).alias("auth")))
+
+
+def proxied(requests: DataFrame, proxies: dict[str, str], bypass: tuple[str, ...] = ()) -> DataFrame:
+    """``requests`` (url, proxy, has_proxy boolean) with ``proxy`` and ``proxy_auth``.
+
+    A request that names its proxy (``has_proxy``; null for none) keeps it; others get that of their scheme, or of 'all', unless their host
+    is in a ``bypass`` domain ('*': every host).
+    """
+    s = urls.scheme(F.col("url"))
+    of_scheme = F.lit(None).cast("string")
+    for k, v in sorted(proxies.items(), key=lambda kv: kv[0] != "all"):  # the one of the scheme goes before that for all
+        of_scheme = F.when(s.isin("http", "https") if k == "all" else s == k, F.lit(v)).otherwise(of_scheme)
+    if bypass:
+        around = F.lit("*" in bypass) | urls.matches_domain(urls.hostname(F.col("url")), [b.lstrip(".") for b in bypass if b != "*"])
+        of_scheme = F.when(~around, of_scheme)
+    own = F.coalesce("has_proxy", F.lit(False))
+    got = F.when(own, proxy_parts(F.col("proxy"), F.lit("http"))).otherwise(proxy_parts(of_scheme, s))
+    return requests.withColumn("_p", got).withColumns({"proxy": F.col("_p.url"), "proxy_auth": F.col("_p.auth")}).drop("_p")
+
+
 def copied_keys(meta: Column, internal: list[str]) -> Column:
     """Internal keys a child request carries on from its parent."""
     return F.array_sort(F.array_intersect(F.map_keys(meta), F.array(*[F.lit(k) for k in internal])))
@@ -201,7 +294,8 @@ def http_date(value: Column) -> Column:
     parsed = F.coalesce(
         F.expr("null").cast("timestamp"),
         F.try_to_timestamp(padded, F.lit("dd MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(F.regexp_replace(padded, r"^(\d\d)-([A-Za-z]{3})-(\d\d) ", "$1 $2 20$3 "), F.lit("dd MMM yyyy HH:mm:ss Z")),
+        # two-digit years: 69 to 99 are of the last century
+        F.try_to_timestamp(F.regexp_replace(F.regexp_replace(padded, r"^(\d\d)-([A-Za-z]{3})-([7-9]\d|69) ", "$1 $2 19$3 "), r"^(\d\d)-([A-Za-z]{3})-(\d\d) ", "$1 $2 20$3 "), F.lit("dd MMM yyyy HH:mm:ss Z")),
         F.try_to_timestamp(F.concat(asc, F.lit(" +0000")), F.lit("MMM dd HH:mm:ss yyyy Z")),
     )
     return F.when(value.isNotNull(), parsed.cast("double"))
@@ -221,12 +315,40 @@ def _seconds(cc: Column, name: str) -> Column:
     return F.when(v.rlike(r"^\d{1,15}$"), v.cast("double"))
 
 
-def freshness(df: DataFrame, now: float) -> DataFrame:
-    """Age and lifetime of cached responses with columns status, date, expires, last_modified, age, cache_control, request_cache_control.
+def dummy_cacheable(url: Column, status: Column, ignore_schemes: tuple = ("file",), ignore_statuses: tuple = ()) -> Column:
+    """Whether the plain cache policy stores a response: all but those of some schemes and statuses; what it stores stays fresh."""
+    return ~F.coalesce(urls.scheme(url).isin(*ignore_schemes), F.lit(False)) & (~status.isin(*ignore_statuses) if ignore_statuses else F.lit(True))
+
+
+def conditional_headers(etag: Column, last_modified: Column) -> Column:
+    """Map of the headers that ask whether a cached response still holds."""
+    empty = F.create_map().cast("map<string,string>")
+    one = lambda name, v: F.when(v.isNotNull(), F.create_map(F.lit(name), v)).otherwise(empty)
+    return F.map_concat(one("if-none-match", etag), one("if-modified-since", last_modified))
+
+
+def cache_route(fresh: Column, cached: Column, answer_status: Column, answer_error: Column, valid: Column, storable: Column) -> Column:
+    """What becomes of a request: hit, revalidate (answer valid), invalidate, errorrecovery, firsthand or uncacheable; null for a failed request without a cached answer."""
+    return (
+        F.when(cached & fresh, "hit")
+        .when(cached & answer_error.isNotNull(), "errorrecovery")
+        .when(cached & valid, "revalidate")
+        .when(cached, "invalidate")
+        .when(answer_status.isNull(), None)
+        .when(storable, "firsthand")
+        .otherwise("uncacheable")
+    )
+
+
+def freshness(df: DataFrame, now: float, always_store: bool = False, ignore_directives: tuple[str, ...] = ()) -> DataFrame:
+    """Age and lifetime of cached responses with columns status, date, expires, last_modified, age, cache_control, request_cache_control, etag.
 
-    Adds ``lifetime``, ``current_age``, ``fresh`` and ``storable``.
+    Adds ``lifetime``, ``current_age``, ``fresh`` and ``storable``. ``ignore_directives`` of responses count for nothing; ``always_store``
+    stores all that is not forbidden.
     """
     cc, rc = cache_control(F.col("cache_control")), cache_control(F.col("request_cache_control"))
+    if ignore_directives:
+        cc = F.map_filter(cc, lambda k, _: ~k.isin(*[x.lower() for x in ignore_directives]))
     date = F.coalesce(http_date(F.col("date")), F.lit(float(now)))
     expires, modified = http_date(F.col("expires")), http_date(F.col("last_modified"))
     lifetime = F.coalesce(
@@ -246,7 +368,7 @@ def freshness(df: DataFrame, now: float) -> DataFrame:
     )
     storable = (
         ~F.map_contains_key(cc, "no-store") & ~F.map_contains_key(rc, "no-store") & (F.col("status") != 304)
-        & (F.map_contains_key(cc, "max-age") | F.col("expires").isNotNull() | F.col("status").isin(300, 301, 308) | (F.col("status").isin(200, 203, 401) & (F.col("last_modified").isNotNull() | F.col("etag").isNotNull())))
+        & (F.lit(always_store) | F.map_contains_key(cc, "max-age") | F.col("expires").isNotNull() | F.col("status").isin(300, 301, 308) | (F.col("status").isin(200, 203, 401) & (F.col("last_modified").isNotNull() | F.col("etag").isNotNull())))
     )
     out = df.withColumn("lifetime", lifetime).withColumn("current_age", age)
     return out.withColumn("fresh", F.coalesce(~no_cache & within, F.lit(False))).withColumn("storable", F.coalesce(storable, F.lit(False)))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from webloom.functions import urls
-from webloom.runtime import materialize
 
 
 def product_token(agent: Column) -> Column:
@@ -15,6 +16,11 @@ def product_token(agent: Column) -> Column:
     return F.lower(F.regexp_extract(agent, r"^[A-Za-z_-]*", 0))
 
 
+def agent_token(agent: str) -> str:
+    """``product_token`` of an agent given by name."""
+    return re.match(r"[A-Za-z_-]*", agent)[0].lower()
+
+
 def lines(robots: DataFrame) -> DataFrame:
     """``origin, line, name, value`` of every directive of ``robots`` (origin, body). A byte order mark and comments mean nothing."""
     text = F.regexp_replace(F.when(F.col("body").isNotNull(), F.decode(F.col("body").cast("binary"), "UTF-8")), "^\\ufeff", "")
@@ -48,8 +54,7 @@ def _agent_score(agents: Column, product: str) -> Column:
 
 def rules(robots: DataFrame, agent: str) -> DataFrame:
     """``origin, allow, pattern, regex`` of the group that fits the agent best."""
-    product = agent.lower()
-    g = groups(robots).withColumn("score", _agent_score(F.col("agents"), product)).filter("score is not null")
+    g = groups(robots).withColumn("score", _agent_score(F.col("agents"), agent_token(agent))).filter("score is not null")
     best = g.groupBy("origin").agg(F.max("score").alias("score"))
     r = g.join(best, ["origin", "score"]).filter(F.col("name").isin("allow", "disallow") & (F.col("value") != ""))
     body = F.regexp_replace(F.col("value"), r"\$$", "")
@@ -57,22 +62,34 @@ def rules(robots: DataFrame, agent: str) -> DataFrame:
     return r.select("origin", (F.col("name") == "allow").alias("allow"), F.col("value").alias("pattern"), regex.alias("regex"))
 
 
-def check(requests: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+def check(requests: DataFrame, robots: DataFrame, agent: str, bypass: Column | None = None) -> DataFrame:
     """``requests`` (url, ...) with ``allowed``: the longest matching rule decides, allow wins ties.
 
-    No file, no fitting group or no matching rule allow; so do addresses that are not http(s).
+    No file, no fitting group or no matching rule allow; so do addresses that are not http(s), and rows for which ``bypass``
+    holds. The rules of an origin travel as one array (a file has at most 500 KiB), so a request joins one row whatever the
+    number of rules; rules without wildcards are compared as prefixes, only the others as patterns.
     """
-    # the row ids are used twice, so they are written once
-    t = materialize(requests.withColumn("_id", F.monotonically_increasing_id()), "robots").withColumn("_o", urls.origin(F.col("url")))
+    r = rules(robots, agent)
+    plain = ~F.col("pattern").rlike(r"\*|\$$")
+    r = r.groupBy("origin").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "allow", F.when(plain, F.col("pattern")).alias("prefix"), F.when(~plain, F.col("regex")).alias("regex"))).alias("_rules"))
     target = F.concat(F.when(urls.path(F.col("url")) == "", "/").otherwise(urls.path(F.col("url"))), F.regexp_extract(urls.clean(F.col("url")), r"(\?[^#]*)", 1))
-    hit = t.select("_id", "_o", target.alias("_t")).join(rules(robots, agent), F.col("_o") == F.col("origin")).filter(F.expr("_t rlike regex"))
-    verdict = hit.groupBy("_id").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("b")).select("_id", F.col("b.allow").alias("_allow"))
-    return t.join(verdict, "_id", "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_id", "_o", "_allow")
+    t = requests.withColumns({"_o": urls.origin(F.col("url")), "_t": target}).join(r.withColumnRenamed("origin", "_o"), "_o", "left")
+    fits = lambda x: F.when(x["prefix"].isNotNull(), F.startswith(F.col("_t"), x["prefix"])).otherwise(F.rlike(F.col("_t"), x["regex"]))
+    best = F.array_max(F.transform(F.filter("_rules", fits), lambda x: F.struct(x["n"].alias("n"), x["allow"].alias("allow"))))
+    allowed = F.coalesce(best["allow"], F.lit(True))
+    if bypass is not None:
+        allowed = allowed | F.coalesce(bypass, F.lit(False))
+    return t.withColumn("allowed", allowed).select(*requests.columns, "allowed")
+
+
+def to_fetch(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """``origin, url`` of the robots files still to fetch: one per origin, however many requests wait for it. ``known``: origin."""
+    return requests.select(urls.origin(F.col("url")).alias("origin")).filter(F.col("origin").rlike("^https?://.")).distinct().join(known.select("origin"), "origin", "left_anti").withColumn("url", F.concat("origin", F.lit("/robots.txt")))
 
 
 def crawl_delays(robots: DataFrame, agent: str) -> DataFrame:
     """``origin, delay`` (seconds, not negative) of the group that fits the agent best."""
-    g = groups(robots).withColumn("score", _agent_score(F.col("agents"), agent.lower())).filter("score is not null and name = 'crawl-delay'")
+    g = groups(robots).withColumn("score", _agent_score(F.col("agents"), agent_token(agent))).filter("score is not null and name = 'crawl-delay'")
     v = F.when(F.col("value").rlike(r"^\d+(\.\d+)?$"), F.col("value").cast("double"))
     return g.withColumn("v", v).filter("v is not null").groupBy("origin").agg(F.max_by("v", F.struct("score", -F.col("line"))).alias("delay"))
 

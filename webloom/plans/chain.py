@@ -44,6 +44,21 @@ def responses(df: DataFrame, steps: list[Step]) -> DataFrame:
     return df
 
 
+def outputs(results: DataFrame, column: str = "output", error: str | None = None) -> DataFrame:
+    """What callbacks gave as one row per output: lists are taken apart, null gives none, anything else is one output.
+
+    With ``error`` (a column) what was given before the callback failed stays, and the failure comes as a last row with a null output.
+    """
+    kind = results.schema[column].dataType
+    many = F.col(column) if kind.typeName() == "array" else F.when(F.col(column).isNotNull(), F.array(column))
+    rest = [c for c in results.columns if c not in (column, error)]
+    out = results.select(*rest, F.posexplode(many).alias("at", column)).filter(F.col(column).isNotNull())
+    if error is None:
+        return out
+    failed = results.filter(F.col(error).isNotNull()).select(*rest, F.coalesce(F.size(many), F.lit(0)).alias("at"), F.lit(None).cast(out.schema[column].dataType).alias(column), error)
+    return out.withColumn(error, F.lit(None).cast("string")).unionByName(failed)
+
+
 @dataclass(frozen=True)
 class Drop:
     """A pipeline step that drops items for which ``when`` holds, for ``reason``."""
@@ -60,7 +75,7 @@ def pipeline(items: DataFrame, steps: list[Transform | Drop]) -> DataFrame:
     return df
 
 
-#: priorities of the layers of settings, lowest first
+#: Priorities of the layers of settings, lowest first. They must be these, or another value would win.
 LAYERS = {"default": 0, "command": 10, "addon": 15, "project": 20, "spider": 30, "cmdline": 40}
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,28 +36,74 @@ def session(app: str = "webloom", master: str | None = None, **conf: str) -> Spa
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) a folder of our own is made and removed at exit.
+    The cluster names it in ``spark.checkpoint.dir`` or by ``SparkContext.setCheckpointDir``. Only a session on one machine
+    (master local) gets a folder of its own, removed at exit; on a cluster without a shared folder this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    key = id(spark.sparkContext)
+    sc = spark.sparkContext
+    key = id(sc)
     if key not in _own_dirs:
+        if sc._jsc.sc().getCheckpointDir().isDefined():
+            return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share: intermediate tables are written there")
         _own_dirs[key] = tempfile.mkdtemp(prefix="webloom-")
         atexit.register(shutil.rmtree, _own_dirs[key], ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(_own_dirs[key])
+        sc.setCheckpointDir(_own_dirs[key])
     return "file://" + _own_dirs[key]
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path of its own under the shared folder, removed by ``intermediates`` or at exit."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove, 0)
+    _written.append((spark, path))
+    return path
+
+
+def _remove(start: int) -> None:
+    """Deletes the intermediate tables written since ``start`` through the session's file system."""
+    todo = _written[start:]
+    del _written[start:]
+    for spark, path in todo:
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session is gone, and its folder with it or left to the cluster's cleaner
+            return
+
+
+@contextlib.contextmanager
+def intermediates():
+    """Within it intermediate tables are written as ever; on leaving those written inside are deleted. Results must be stored by then."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        _remove(start)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors,
     and lets later readers prune columns (unlike an RDD checkpoint)."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that is dear per row: a table of fewer splits than the cluster has cores is shared out, larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_width(spark: SparkSession, rows: int | None = None, rows_per_task: int = 200_000) -> int:
     """Number of partitions for an explicit repartition: the session's shuffle width, more if the rows ask for it."""
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))

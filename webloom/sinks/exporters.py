@@ -1,25 +1,28 @@
 """Feed export: field projection, encodings of values, batches, templated addresses, and writers per format.
 
-Every writer runs on the executors, one file per partition (or per batch); the driver only names the folder.
+Every writer runs on the executors, one file per partition or per batch; the driver only names the folder.
 Spark's own writers serve JSON lines, CSV and XML; a Python data source writes what they cannot: one JSON
-array per file, pickle and marshal dumps, lzma.
+array per file, Python and pickle and marshal dumps, lzma, files by batch. It writes through the file system the address names (local,
+hdfs, s3, gs as far as pyarrow has them); an address of any other kind raises.
 """
 
 from __future__ import annotations
 
 import bz2
+import csv
 import datetime as dt
 import decimal
 import gzip
+import io
 import json
 import lzma
 import marshal
-import os
 import pickle
 import pprint
 import re
 import uuid
 from dataclasses import dataclass
+from xml.sax.saxutils import XMLGenerator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,19 +104,18 @@ def batches(items: DataFrame, size: int, order: list[str]) -> DataFrame:
     """
     if size <= 0:
         return items.withColumn("batch_id", F.lit(1).cast("long"))
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = items.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in order]
     # written once: sampled ranges may fall elsewhere in a second run
     p = materialize(items.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "batches")
     p = p.withColumn("_p", F.shiftright("_id", 33).cast("int")).withColumn("_a", F.col("_id").bitwiseAND((1 << 33) - 1))
-    before, total = {}, 0
+    before, total = [], 0
     for r in sorted(p.groupBy("_p").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_p"]):
-        before[r["_p"]] = total
+        before.append((r["_p"], total))
         total += r["n"]
-    if not before:
-        return items.withColumn("batch_id", F.lit(1).cast("long")).limit(0)
-    off = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_p"))
-    return p.withColumn("batch_id", (F.floor((off + F.col("_a")) / size) + 1).cast("long")).drop("_id", "_p", "_a")
+    offsets = F.broadcast(spark.createDataFrame(before, "_p int, _before long"))  # a row per partition
+    return p.join(offsets, "_p").withColumn("batch_id", (F.floor((F.col("_before") + F.col("_a")) / size) + 1).cast("long")).drop("_id", "_p", "_a", "_before")
 
 
 _HOLDER = re.compile(r"%\((\w+)\)(0?\d*)([sd])")
@@ -147,61 +149,195 @@ def _plain(v):
     return v
 
 
-_SUFFIX = {"json": "json", "pickle": "pickle", "marshal": "marshal", "pprint": "txt"}
-_OPEN = {"none": open, "gzip": gzip.open, "bz2": bz2.open, "lzma": lzma.open}
+class _Json:
+    """One JSON array."""
+
+    def __init__(self, f, o):
+        self.f, self.n, self.indent, self.ascii = f, 0, int(o["indent"]) if o.get("indent") else None, o.get("ascii", "true") == "true"
+        f.write(b"[")
+
+    def add(self, row):
+        line = b"\n" if self.indent is not None else b""
+        self.f.write((b"," if self.n else b"") + line + json.dumps(_plain(row), ensure_ascii=self.ascii, indent=self.indent or None).encode())
+        self.n += 1
+
+    def end(self):
+        self.f.write(b"\n]" if self.indent is not None and self.n else b"]")
+
+
+class _JsonLines:
+    def __init__(self, f, o):
+        self.f, self.ascii = f, o.get("ascii", "true") == "true"
+
+    def add(self, row):
+        self.f.write(json.dumps(_plain(row), ensure_ascii=self.ascii).encode() + b"\n")
+
+    def end(self):
+        pass
+
+
+class _Csv(_JsonLines):
+    def __init__(self, f, o):
+        self.text = io.TextIOWrapper(f, "utf-8", newline="", write_through=True)
+        self.out = csv.writer(self.text, delimiter=o.get("delimiter", ","), lineterminator="\r\n")
+        self.join, self.head = o.get("join", ","), o.get("header", "true") == "true"
+
+    def add(self, row):
+        d = row.asDict()
+        if self.head:
+            self.out.writerow(d)
+            self.head = False
+        self.out.writerow(self.join.join(map(str, _plain(v))) if isinstance(v, (list, tuple)) else "" if v is None else _plain(v) for v in d.values())
+
+    def end(self):
+        self.text.flush()
+        self.text.detach()
+
+
+class _Xml(_JsonLines):
+    def __init__(self, f, o):
+        self.g = XMLGenerator(f, "utf-8")
+        self.root, self.row = o.get("root", "items"), o.get("row", "item")
+        self.g.startDocument()
+        self.g.startElement(self.root, {})
+
+    def _field(self, name, v):
+        self.g.startElement(name, {})
+        if isinstance(v, dict):
+            for k, x in v.items():
+                self._field(k, x)
+        elif isinstance(v, list):
+            for x in v:
+                self._field("value", x)
+        elif v is not None:
+            self.g.characters(v if isinstance(v, str) else str(v))
+        self.g.endElement(name)
+
+    def add(self, row):
+        self._field(self.row, _plain(row))
+
+    def end(self):
+        self.g.endElement(self.root)
+        self.g.endDocument()
+
+
+class _Pickle(_JsonLines):
+    def __init__(self, f, o):
+        self.f = f
+
+    def add(self, row):
+        pickle.dump(row.asDict(recursive=True), self.f, protocol=4)
+
+
+class _Marshal(_Pickle):
+    def add(self, row):
+        marshal.dump(_plain(row), self.f)
+
+
+class _Pprint(_Pickle):
+    def add(self, row):
+        self.f.write((pprint.pformat(_plain(row)) + "\n").encode())
+
+
+#: writers of one file by format, and the ends of their names; more may be registered
+WRITERS = {"json": (_Json, "json"), "jsonlines": (_JsonLines, "jl"), "csv": (_Csv, "csv"), "xml": (_Xml, "xml"), "pickle": (_Pickle, "pickle"), "marshal": (_Marshal, "marshal"), "pprint": (_Pprint, "txt")}
+_OPEN = {"none": lambda f: f, "gzip": lambda f: gzip.GzipFile(fileobj=f, mode="wb"), "bz2": lambda f: bz2.BZ2File(f, "wb"), "lzma": lambda f: lzma.LZMAFile(f, "wb")}
 _END = {"none": "", "gzip": ".gz", "bz2": ".bz2", "lzma": ".xz"}
 
 
+def register_writer(name: str, writer: type, suffix: str) -> None:
+    """A format of one's own: a class made with (file, options), with add(row) and end()."""
+    WRITERS[name] = (writer, suffix)
+
+
+def file_system(path: str):
+    """(pyarrow file system, path in it) of an address or an absolute local path."""
+    from pyarrow import fs
+
+    where = re.sub("^s3a:", "s3:", path)
+    if re.match("^file:/", where):
+        where = re.sub("^file:/+", "/", where)
+    if where.startswith("/"):
+        return fs.LocalFileSystem(), where
+    if "://" not in where:
+        raise ValueError(f"neither an address nor an absolute path: {path}")
+    return fs.FileSystem.from_uri(where)
+
+
 @dataclass
 class _Done(WriterCommitMessage):
-    written: str
-    final: str
+    written: list
 
 
 class _FileWriter(DataSourceWriter):
-    """Each task writes a hidden file, renamed when the whole write commits."""
-
-    def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
-        self.kind, self.codec = options.get("kind", "json"), options.get("codec", "none")
-        self.indent = int(options["indent"]) if options.get("indent") else None
-        self.ascii = options.get("ascii", "true") == "true"
-        if self.kind not in _SUFFIX or self.codec not in _OPEN:
+    """Each task writes hidden files, renamed when the whole write commits; what stood there before goes then, if it is to be overwritten."""
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite or options.get("replace") == "true"
+        self.kind, self.codec, self.batch = options.get("kind", "json"), options.get("codec", "none"), options.get("batch")
+        self.options = {str(k): str(v) for k, v in options.items()}
+        if self.kind not in WRITERS or self.codec not in _OPEN:
             raise ValueError(f"unknown kind or codec: {self.kind}, {self.codec}")
+        self.writer, suffix = WRITERS[self.kind]
+        self.end = f".{suffix}{_END[self.codec]}"
+        file_system(self.path)
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
-        name = f"part-{uuid.uuid4().hex}.{_SUFFIX[self.kind]}{_END[self.codec]}"
-        hidden = os.path.join(self.path, "." + name)
-        with _OPEN[self.codec](hidden, "wb") as f:
-            if self.kind == "json":
-                f.write(b"[")
-                for n, r in enumerate(rows):
-                    f.write((b"," if n else b"") + (b"\n" if self.indent is not None else b"") + json.dumps(_plain(r), ensure_ascii=self.ascii, indent=self.indent or None).encode())
-                f.write(b"\n]" if self.indent is not None else b"]")
-            else:
-                for r in rows:
-                    if self.kind == "pickle":
-                        pickle.dump(r.asDict(recursive=True), f, protocol=4)
-                    elif self.kind == "marshal":
-                        marshal.dump(_plain(r), f)
-                    else:
-                        f.write((pprint.pformat(_plain(r)) + "\n").encode())
-        return _Done(hidden, os.path.join(self.path, name))
+        fs, root = file_system(self.path)
+        fs.create_dir(root, recursive=True)
+        done, open_, now = [], None, None
+
+        def close():
+            if open_:
+                open_[0].end()
+                for f in open_[1:]:
+                    f.close()
+
+        try:
+            for r in rows:
+                batch = r[self.batch] if self.batch else None
+                if open_ is None or batch != now:
+                    close()
+                    name = f"part-{uuid.uuid4().hex}" if batch is None else uri(self.options.get("name", "batch-%(batch_id)05d"), {"batch_id": batch})
+                    raw = fs.open_output_stream(f"{root}/.{name}{self.end}", compression=None)
+                    out = _OPEN[self.codec](raw)
+                    done.append((f"{root}/.{name}{self.end}", f"{root}/{name}{self.end}"))
+                    open_, now = (self.writer(out, self.options), *([out] if out is not raw else []), raw), batch
+                if self.batch:
+                    from pyspark.sql import Row
+
+                    r = Row(**{k: v for k, v in r.asDict().items() if k != self.batch})
+                open_[0].add(r)
+            if open_ is None and not self.batch:
+                raw = fs.open_output_stream(f"{root}/.part-{uuid.uuid4().hex}{self.end}", compression=None)
+                out = _OPEN[self.codec](raw)
+                open_ = (self.writer(out, self.options), *([out] if out is not raw else []), raw)
+        finally:
+            close()
+        return _Done(done)
 
     def commit(self, messages):
-        for m in messages:
-            if m:
-                os.replace(m.written, m.final)
+        fs, root = file_system(self.path)
+        new = [pair for m in messages if m for pair in m.written]
+        if self.overwrite:
+            from pyarrow import fs as pafs
+
+            hidden = {a for a, _ in new}
+            for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+                if f.path not in hidden and not any(f.path.endswith(a) for a in hidden):
+                    (fs.delete_dir if f.type == pafs.FileType.Directory else fs.delete_file)(f.path)
+        for a, b in new:
+            fs.move(a, b)
 
     def abort(self, messages):
+        fs, _ = file_system(self.path)
         for m in messages:
-            if m and os.path.exists(m.written):
-                os.remove(m.written)
+            for a, _b in m.written if m else ():
+                fs.delete_file(a)
 
 
 class FeedFiles(DataSource):
-    """``df.write.format('webloom_feed')`` with options path, kind (json, pickle, marshal, pprint), codec (none, gzip, bz2, lzma), indent, ascii.
+    """``df.write.format('webloom_feed')`` with options path, kind (one of ``WRITERS``), codec (none, gzip, bz2, lzma), batch (column), name, indent, ascii and those of the kind.
 
     The path is a folder all executors share.
     """
@@ -211,27 +347,36 @@ class FeedFiles(DataSource):
         return "webloom_feed"
 
     def writer(self, schema, overwrite):
-        return _FileWriter(self.options)
+        return _FileWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FeedFiles)
 
 
-def export(items: DataFrame, path: str, fmt: str = "jsonlines", mode: str = "append", codec: str = "none", store_empty: bool = True, **options) -> bool:
-    """Writes a feed; False where there was nothing to store and ``store_empty`` is off."""
+def export(items: DataFrame, path: str, fmt: str = "jsonlines", mode: str = "append", codec: str = "none", store_empty: bool = True, batch: str | None = None, **options) -> bool:
+    """Writes a feed; False where there was nothing to store and ``store_empty`` is off.
+
+    ``mode`` is append or overwrite. With ``batch`` (a column, see ``batches``) there is a file per batch, named by option ``name``.
+    """
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"unknown mode: {mode}")
     if not store_empty and items.isEmpty():
         return False
     w_codec = {"none": "none", "gzip": "gzip", "bz2": "bzip2"}.get(codec)
-    if fmt == "jsonlines" and w_codec:
+    if batch is None and fmt == "jsonlines" and w_codec:
         json_lines(items).write.mode(mode).option("compression", w_codec).text(path)
-    elif fmt == "csv" and w_codec:
-        csv_ready(items, options.get("join", ",")).write.mode(mode).options(header=options.get("header", True), sep=options.get("delimiter", ","), lineSep="\n", emptyValue="", compression=w_codec).csv(path)
-    elif fmt == "xml" and w_codec:
+    elif batch is None and fmt == "csv" and w_codec:
+        csv_ready(items, options.get("join", ",")).write.mode(mode).options(header=options.get("header", True), sep=options.get("delimiter", ","), lineSep="\r\n", escape='"', emptyValue="", compression=w_codec).csv(path)
+    elif batch is None and fmt == "xml" and w_codec:
         json_ready(items).write.mode(mode).options(rootTag=options.get("root", "items"), rowTag=options.get("row", "item"), arrayElementName="value", compression=w_codec).format("xml").save(path)
-    elif fmt in _SUFFIX:
+    elif fmt in WRITERS:
         register(items.sparkSession)
-        items.write.format("webloom_feed").mode("append").options(path=path, kind=fmt, codec=codec, **{k: str(v).lower() for k, v in options.items()}).save()
+        if batch is not None:  # every batch in one task, in one run of its rows
+            items = items.repartition(batch).sortWithinPartitions(batch)
+            options = {**options, "batch": batch}
+        replace = {"replace": "true"} if mode == "overwrite" else {}
+        items.write.format("webloom_feed").mode("append").options(path=path, kind=fmt, codec=codec, **replace, **{k: v if isinstance(v, str) else str(v).lower() for k, v in options.items()}).save()
     else:
         raise ValueError(f"no writer for {fmt} with {codec}")
     return True

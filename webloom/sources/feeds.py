@@ -114,30 +114,74 @@ def data_url(url: Column) -> Column:
     )
 
 
+class _Cut(ValueError):
+    """A coded body that ends before its end."""
+
+
+def _members(body: bytes, most: int, wbits: int) -> bytes:
+    """All members of a gzip body (or the one zlib or raw deflate stream), at most ``most`` + 1 bytes of them."""
+    out, rest = [], body
+    size = 0
+    while rest:
+        d = zlib.decompressobj(wbits)
+        part = d.decompress(rest, most + 1 - size)
+        out.append(part)
+        size += len(part)
+        if size > most:
+            break
+        if not d.eof:
+            raise _Cut
+        rest = d.unused_data if wbits == 31 else b""
+        if not rest.lstrip(b"\0"):  # padding after the last member
+            break
+    return b"".join(out)
+
+
+def _unbrotli(body: bytes, most: int) -> bytes:
+    import brotli
+
+    d, out, size = brotli.Decompressor(), [], 0
+    for s in range(0, len(body), 1 << 14):
+        out.append(d.process(body[s : s + (1 << 14)]))
+        size += len(out[-1])
+        if size > most:
+            break
+    else:
+        if not d.is_finished():
+            raise _Cut
+    return b"".join(out)
+
+
+def _unzstd(body: bytes, most: int) -> bytes:
+    import zstandard
+
+    out, size = [], 0
+    with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(body), read_across_frames=True) as r:
+        while chunk := r.read(min(1 << 20, most + 1 - size)):
+            out.append(chunk)
+            size += len(chunk)
+    return b"".join(out)
+
+
 def _inflate(body: bytes, codings: list[str], most: int) -> tuple[bytes, list[str], bool]:
     left = list(codings)
     while left:
         c = left[-1]
         try:
             if c in ("gzip", "x-gzip"):
-                d = zlib.decompressobj(31)
-                body = d.decompress(body, most + 1)
+                body = _members(body, most, 31)
             elif c == "deflate":
                 try:
-                    body = zlib.decompressobj().decompress(body, most + 1)
+                    body = _members(body, most, 15)
                 except zlib.error:
-                    body = zlib.decompressobj(-15).decompress(body, most + 1)
+                    body = _members(body, most, -15)
             elif c == "zstd":
-                import zstandard
-
-                body = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(body)).read(most + 1)
+                body = _unzstd(body, most)
             elif c == "br":
-                import brotli
-
-                body = brotli.decompress(body)
+                body = _unbrotli(body, most)
             elif c != "identity":
                 break
-        except (zlib.error, ImportError, OSError, ValueError):
+        except (zlib.error, ImportError, OSError, ValueError, _zstd_error()):
             break
         left.pop()
         if len(body) > most:
@@ -145,8 +189,16 @@ def _inflate(body: bytes, codings: list[str], most: int) -> tuple[bytes, list[st
     return body, left, False
 
 
+def _zstd_error():
+    try:
+        import zstandard
+    except ImportError:
+        return OSError
+    return zstandard.ZstdError
+
+
 def decode_content(df: DataFrame, body: str = "body", encoding: str = "content_encoding", most: int = 1 << 30) -> DataFrame:
-    """``df`` with ``decoded``, ``codings_left`` and ``too_large``: codings are undone from the last to the first; unknown or broken ones stay."""
+    """``df`` with ``decoded``, ``codings_left`` and ``too_large``: codings are undone from the last to the first; unknown, broken and cut off ones stay."""
 
     @F.pandas_udf("struct<decoded:binary,codings_left:array<string>,too_large:boolean>")
     def run(b: pd.Series, e: pd.Series) -> pd.DataFrame:
@@ -217,6 +269,7 @@ def decoded_text(df: DataFrame, body: str = "body", encoding: str = "encoding")
 
 # --- curl --------------------------------------------------------------------------------------------
 
+#: Options of curl that say nothing about the request.
 _IGNORED = {"-s", "--silent", "-k", "--insecure", "-L", "--location", "--compressed", "-v", "--verbose", "-#", "--progress-bar", "-i", "--include", "-f", "--fail", "-g", "--globoff"}
 
 

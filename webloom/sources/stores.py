@@ -36,6 +36,12 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return best.select("r.*")
 
 
+def upsert_headers(old: DataFrame, new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Header rows after storing ``new``: those of the fingerprints in ``stored`` (fingerprint) are replaced as a whole, never mixed with old ones."""
+    keys = stored.select("fingerprint").distinct()
+    return old.join(keys, "fingerprint", "left_anti").unionByName(new.join(keys, "fingerprint", "left_semi"))
+
+
 def probe(requests: DataFrame, cache: DataFrame, now: float, expire: float = 0.0) -> DataFrame:
     """``requests`` (fp, ...) with the cached response in force at ``now`` (null columns: a miss)."""
     from webloom.operators.policies import latest_valid

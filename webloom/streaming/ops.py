@@ -73,8 +73,16 @@ def throttle(stream: DataFrame, start: float = 5.0, least: float = 0.0, most: fl
     )
 
 
-def drain(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and gives the result as a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now, writes its rows to Parquet files under ``path`` and reads them back.
+
+    With ``mode`` complete every micro-batch replaces what is there.
+    """
+    kind = stream.schema
+    w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = w.outputMode(mode).format("parquet").start(path)
+    else:
+        q = w.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(table)
+    return stream.sparkSession.read.schema(kind).parquet(path)

@@ -1,11 +1,20 @@
 """Core operators on small literal inputs."""
 
+import bz2
+import gzip
+import io
 import json
 import lzma
+import marshal
 import os
+import pickle
+import random
+import zlib
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from webloom import catalog
@@ -81,9 +90,9 @@ def test_meta_refresh_and_headers(spark):
 
 
 def test_http_dates_and_freshness(spark):
-    dates = [("Sun, 06 Nov 1994 08:49:37 GMT", 784111777.0), ("Sunday, 06-Nov-94 08:49:37 GMT", None), ("Sun Nov  6 08:49:37 1994", 784111777.0), ("Sun, 06 Nov 1994 08:49:37 -0000", 784111777.0), ("nonsense", None), (None, None)]
+    dates = [("Sun, 06 Nov 1994 08:49:37 GMT", 784111777.0), ("Sunday, 06-Nov-94 08:49:37 GMT", 784111777.0), ("Tuesday, 31-Mar-26 23:16:40 GMT", 1774999000.0), ("Friday, 01-Jan-69 00:00:00 GMT", -31536000.0), ("Sun Nov  6 08:49:37 1994", 784111777.0), ("Sun, 06 Nov 1994 08:49:37 -0000", 784111777.0), ("nonsense", None), (None, None)]
     got = spark.createDataFrame(dates, "d string, want double").withColumn("got", policies.http_date(F.col("d"))).collect()
-    assert [r.got for r in got if r.d != dates[1][0]] == [r.want for r in got if r.d != dates[1][0]]
+    assert [r.got for r in got] == [r.want for r in got]
     base = "Sun, 06 Nov 1994 08:49:37 GMT"
     cases = [("max-age=10", None, False), ("max-age=10", "max-stale=20", True), ("max-age=10, must-revalidate", "max-stale=20", False), ("max-age=inf", None, False), ("max-age=100", None, True), ("max-age=100", "no-cache", False)]
     df = spark.createDataFrame([(200, base, None, None, None, None, cc, rc, want) for cc, rc, want in cases], "status int, date string, expires string, last_modified string, age string, etag string, cache_control string, request_cache_control string, want boolean")
@@ -102,10 +111,18 @@ def test_links(spark):
     assert [(r.url, r.text, r.nofollow) for r in ex.extract(pages).collect()] == [("https://example.test/root/product/1?b=2&a=1#details", " Product One ", True)]
     every = [r.url for r in links.LinkExtractor().extract(pages).orderBy("pos").collect()]
     assert every == ["https://example.test/n", "https://example.test/root/product/1?b=2&a=1#details", "https://example.test/root/product/2", "https://other.test/"]
-    out = links.LinkExtractor(process_value=lambda v: F.when(v == "/n", "../out")).extract(pages).collect()
+    out = links.LinkExtractor(process_value=lambda v: F.when(v == "https://example.test/n", "../out")).extract(pages).collect()
     assert [r.url for r in out] == ["https://example.test/out"]
     rules = [links.Rule(links.LinkExtractor(restrict_css=("nav",))), links.Rule(links.LinkExtractor(allow=("other|/n",)), "cb")]
     assert sorted((r.rule, r.url, r.follow) for r in links.apply_rules(pages, rules).collect()) == [(0, "https://example.test/n", True), (1, "https://other.test/", False)]
+    rules[0].process_links = lambda df: df.withColumn("url", F.concat("url", F.lit("?x")))
+    rules[1].process_request = lambda df: df.filter(~F.col("url").contains("other")).withColumn("callback", F.lit("changed"))
+    rules[1].cb_kwargs, rules[1].errback = {"k": "v"}, "failed"
+    got = links.apply_rules(pages, rules).collect()
+    assert sorted((r.rule, r.url, r.callback, r.cb_kwargs, r.errback) for r in got) == [(0, "https://example.test/n?x", None, {}, None), (1, "https://example.test/n", "changed", {"k": "v"}, "failed")]
+    assert len(set(links.IGNORED_EXTENSIONS)) == 91
+    late = spark.createDataFrame([(1, "http://a.test/x/", "<!-- <base href='/no/'> -->" + " " * 4200 + "<base href='/late/'><a href='y'>y</a>"), (2, "http://a.test/x/", "<base href='/b/'><a href=' ü y'>y</a><a href='z.sh'>z</a>")], "page_id int, url string, html string")
+    assert [r.url for r in links.LinkExtractor().extract(late).orderBy("page_id").collect()] == ["http://a.test/x/y", "http://a.test/b/%C3%BC%20y"]
 
 
 def test_selectors(spark):
@@ -146,14 +163,36 @@ def test_cookies(spark):
     assert {r.id: r.cookie for r in cookies.cookie_headers(req, jar).collect()} == {1: "d=x; s=2", 2: "s=2", 3: "d=x", 4: None}
 
 
+def _throttled(events, start, least, most, concurrency):
+    """Brute force: the delay of a slot folded event by event."""
+    out = {}
+    for slot, _ts, _seq, latency, status, adjust in sorted((e for e in events if e[0] is not None), key=lambda e: (e[0], e[1], e[2])):
+        d, up, down, same, ignored = out.get(slot, (start, 0, 0, 0, 0))
+        new = None
+        if adjust is not False and latency is not None:
+            t = latency / concurrency
+            new = min(max(t, (d + t) / 2, least), most)
+            if status != 200 and new <= d:
+                new = None
+        out[slot] = (d, up, down, same, ignored + 1) if new is None else (new, up + (new > d), down + (new < d), same + (new == d), ignored)
+    return out
+
+
 def test_throttle(spark):
-    ev = spark.createDataFrame([("a", 1.0, 1, 1.0, 200, True), ("a", 2.0, 2, 0.1, 500, True), ("a", 3.0, 3, 0.1, 200, False), (None, 1.0, 4, 1.0, 200, True)], "slot string, ts double, seq int, latency double, status int, adjust boolean")
-    r = throttle.auto_throttle(ev, 0.2, 0.1, 2.0, 2.0).collect()
-    assert [(x.slot, x.delay, x.increased, x.ignored) for x in r] == [("a", 0.5, 1, 2)]
+    schema = "slot string, ts double, seq int, latency double, status int, adjust boolean"
+    rng = random.Random(3)
+    data = [("a", 1.0, 1, 1.0, 200, True), ("a", 2.0, 2, 0.1, 500, True), ("a", 3.0, 3, 0.1, 200, False), (None, 1.0, 4, 1.0, 200, True)]
+    data += [(rng.choice("bcd"), float(rng.randrange(100)), n, rng.choice([None, rng.random() * 8, 0.01]), rng.choice([200, 200, 404]), rng.choice([True, True, None, False])) for n in range(10, 400)]
+    ev = spark.createDataFrame(data, schema)
+    want = _throttled(data, 0.2, 0.1, 2.0, 2.0)
+    for width in (7.0, 1000.0):
+        got = {x.slot: (x.delay, x.increased, x.decreased, x.unchanged, x.ignored) for x in throttle.auto_throttle(ev, 0.2, 0.1, 2.0, 2.0, width=width).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1:] == want[k][1:] for k in want)
+    assert throttle.auto_throttle(ev.limit(0)).count() == 0
     q = spark.createDataFrame([("s", float(t), i) for i, t in enumerate([0, 1, 1, 50, 51, 120, 121, 121])] + [("t", 3.0, 1)], "slot string, ts double, seq int")
-    want = rows(throttle.start_times(q, 10.0).select("slot", "seq", "start"), "slot", "seq")
-    assert rows(throttle.start_times_salted(q, 10.0, 60.0).select("slot", "seq", "start"), "slot", "seq") == want
-    assert [w[2] for w in want if w[0] == "s"] == [0, 10, 20, 50, 60, 120, 130, 140]
+    for width in (20.0, 60.0, 1e9):
+        got = rows(throttle.start_times(q, 10.0, width).select("slot", "seq", "start"), "slot", "seq")
+        assert [w[2] for w in got if w[0] == "s"] == [0, 10, 20, 50, 60, 120, 130, 140] and got[-1][2] == 3.0
 
 
 def test_stats(spark):
@@ -206,15 +245,13 @@ def test_feeds(spark):
 
 
 def test_bodies(spark):
-    import gzip
-    import zlib
-
     raw = b"hello " * 50
     deflate = zlib.compressobj(wbits=-15)
-    data = [(gzip.compress(raw), "gzip"), (deflate.compress(raw) + deflate.flush(), "deflate"), (gzip.compress(zlib.compress(raw)), "deflate, x-gzip"), (raw, "unknown"), (b"broken", "gzip"), (None, "gzip")]
+    data = [(gzip.compress(raw), "gzip"), (deflate.compress(raw) + deflate.flush(), "deflate"), (gzip.compress(zlib.compress(raw)), "deflate, x-gzip"), (raw, "unknown"), (b"broken", "gzip"), (None, "gzip"),
+            (gzip.compress(raw) + gzip.compress(b"more") + b"\0" * 8, "gzip"), (gzip.compress(raw)[:-9], "gzip"), (zlib.compress(raw)[:-5], "deflate"), (zstandard.compress(raw) + zstandard.compress(b"more"), "zstd")]
     got = feeds.decode_content(spark.createDataFrame(data, "body binary, content_encoding string")).collect()
-    assert [g.decoded for g in got] == [raw, raw, raw, raw, b"broken", None]
-    assert [g.codings_left for g in got] == [[], [], [], ["unknown"], ["gzip"], ["gzip"]]
+    assert [g.decoded for g in got] == [raw, raw, raw, raw, b"broken", None, raw + b"more", data[7][0], data[8][0], raw + b"more"]
+    assert [g.codings_left for g in got] == [[], [], [], ["unknown"], ["gzip"], ["gzip"], [], ["gzip"], ["deflate"], []]
     assert feeds.decode_content(spark.createDataFrame([(gzip.compress(raw), "gzip")], "body binary, content_encoding string"), most=10).first().too_large
     t = spark.createDataFrame([("привет".encode("cp1251"), "cp1251"), ("é".encode(), "utf-8"), (b"\xff", "utf-8"), (None, "utf-8"), ("é".encode("latin-1"), "iso-8859-1")], "body binary, encoding string")
     assert [r.text for r in feeds.decoded_text(t).collect()] == ["привет", "é", "�", None, "é"]
@@ -224,14 +261,50 @@ def test_exports(spark, tmp_path):
     items = spark.createDataFrame([(1, "é", ["a", "b"], b"x"), (2, None, None, None)], "id int, name string, tags array<string>, raw binary").coalesce(1)
     assert [json.loads(r.value) for r in exporters.json_lines(items).collect()] == [{"id": 1, "name": "é", "tags": ["a", "b"], "raw": "x"}, {"id": 2}]
     assert rows(exporters.csv_ready(items, "|")) == [("1", "é", "a|b", "x"), ("2", "", "", "")]
-    assert exporters.export(items, f"{tmp_path}/j", "json", codec="lzma")
-    files = [f for f in os.listdir(f"{tmp_path}/j") if f.endswith(".json.xz")]
-    assert json.loads(lzma.open(f"{tmp_path}/j/{files[0]}").read()) == [{"id": 1, "name": "é", "tags": ["a", "b"], "raw": "x"}, {"id": 2}]
-    for fmt in ("jsonlines", "csv", "xml", "pickle", "marshal", "pprint"):
-        assert exporters.export(items, f"{tmp_path}/{fmt}", fmt)
+    want = [{"id": 1, "name": "é", "tags": ["a", "b"], "raw": "x"}, {"id": 2}]
+
+    def content(fmt, codec="none", **how):
+        """The one file of a feed written twice, the second time over the first."""
+        path = f"{tmp_path}/{fmt}-{codec}"
+        for _ in range(2):
+            assert exporters.export(items, path, fmt, "overwrite", codec, **how)
+        (name,) = [f for f in os.listdir(path) if f[0] not in "._"]
+        return {"none": open, "gzip": gzip.open, "bz2": bz2.open, "lzma": lzma.open}[codec](f"{path}/{name}", "rb").read()
+
+    for codec in ("none", "lzma"):
+        assert json.loads(content("json", codec)) == want and [json.loads(x) for x in content("jsonlines", codec).splitlines()] == want
+        assert content("csv", codec).decode() == "id,name,tags,raw\r\n1,é,\"a,b\",x\r\n2,,,\r\n"
+        tree = ElementTree.fromstring(content("xml", codec))
+        assert [(x.findtext("id"), x.findtext("name") or None, [v.text for v in x.iterfind("tags/value")]) for x in tree] == [("1", "é", ["a", "b"]), ("2", None, [])]
+    dumps = io.BytesIO(content("pickle"))
+    assert [pickle.load(dumps), pickle.load(dumps)] == [{"id": 1, "name": "é", "tags": ["a", "b"], "raw": b"x"}, {"id": 2, "name": None, "tags": None, "raw": None}] and not dumps.read()
+    dumps = io.BytesIO(content("marshal", "lzma"))
+    assert [marshal.load(dumps), marshal.load(dumps)] == want and "'name': 'é'" in content("pprint").decode()
+    assert json.loads(content("json", indent=2)) == want
+    assert exporters.export(items, f"{tmp_path}/json-none", "json", "append") and len([f for f in os.listdir(f"{tmp_path}/json-none") if f[0] != "."]) == 2
+    with pytest.raises(Exception, match="neither an address|absolute"):
+        exporters.export(items, "some/folder", "json")
     assert not exporters.export(items.limit(0), f"{tmp_path}/none", store_empty=False)
     with pytest.raises(ValueError):
         exporters.export(items, f"{tmp_path}/x", "nothing")
+    exporters.export(exporters.batches(items, 1, ["id"]), f"{tmp_path}/b", "json", batch="batch_id", name="f-%(batch_id)02d")
+    assert {f: json.load(open(f"{tmp_path}/b/{f}"))[0]["id"] for f in os.listdir(f"{tmp_path}/b")} == {"f-01.json": 1, "f-02.json": 2}
+
+    class Shout:
+        def __init__(self, f, options):
+            self.f = f
+
+        def add(self, row):
+            self.f.write(f"{row['id']}!".encode())
+
+        def end(self):
+            pass
+
+    exporters.register_writer("shout", Shout, "txt")
+    try:
+        assert content("shout") == b"1!2!"
+    finally:
+        del exporters.WRITERS["shout"]
     assert sorted(r.batch_id for r in exporters.batches(spark.range(5).toDF("id"), 2, ["id"]).collect()) == [1, 1, 2, 2, 3]
     assert exporters.uri("f-%(batch_id)03d-%(name)s-100%.json", {"batch_id": 7, "name": "x"}) == "f-007-x-100%.json"
 
@@ -254,7 +327,7 @@ def test_stream_throttle_equals_batch(spark, tmp_path):
     batch = spark.createDataFrame(data, schema)
     batch.write.parquet(f"{tmp_path}/in")
     st = ops.throttle(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 0.2, 0.1, 2.0, 2.0)
-    got = ops.drain(st, "throttled", f"{tmp_path}/cp").select("slot", "delay")
+    got = ops.drain(st, f"{tmp_path}/out", f"{tmp_path}/cp").select("slot", "delay")
     assert rows(got, "slot") == rows(throttle.auto_throttle(batch, 0.2, 0.1, 2.0, 2.0).select("slot", "delay"), "slot")
 
 
@@ -284,7 +357,7 @@ def test_headlines_of_all_pages(spark, tmp_path):
         want += [(i, t) for t in b.out if t]
     rows = [(i, "http://a.test/", h.encode()) for i, h in enumerate(html)] + [(9, "http://a.test/", None)]
     spark.createDataFrame(rows, "response_id long, url string, body binary").write.parquet(f"{tmp_path}/responses.parquet")
-    got = catalog.queries()["css_headlines_all"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["css_headlines"](spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.title) for r in got) == sorted(want) and len(want) == 4
 
 

@@ -94,6 +94,10 @@ def form_request(url: Column, pairs: Column, method: Column | None = None) -> Co
     )
 
 
+def _named(attribute: str, want: str):
+    return lambda x: F.element_at(x["attrs"], attribute) == want
+
+
 def forms(pages: DataFrame, name: str | None = None, id: str | None = None, number: int = 0, css: str | None = None, xpath: str | None = None,
           overrides: dict[str, str | None] | None = None, click: dict[str, str] | None = None, dont_click: bool = False, nodes: DataFrame | None = None) -> DataFrame:
     """``page_id, url, method, body, content_type``: the request that submits one form of each page (page_id, url, html).
@@ -142,7 +146,7 @@ def forms(pages: DataFrame, name: str | None = None, id: str | None = None, numb
     if click:
         for k, want in click.items():
             if k != "nr":
-                hit = F.filter(hit, lambda x, k=k, want=want: F.element_at(x["attrs"], k) == want)
+                hit = F.filter(hit, _named(k, want))
         if "nr" in click:
             hit = F.slice(F.col("buttons"), int(click["nr"]) + 1, 1)
         if not dont_click:

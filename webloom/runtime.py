@@ -99,7 +99,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` for work that is dear per row: a table of fewer splits than the cluster has cores is shared out, larger ones stay as they are."""
+    """``df`` for work that is dear per row: a table of fewer splits than the cluster has cores is shared out over them.
+
+    Larger tables, and what is more than a scan with filters and projections, stay as they are.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not all(re.match(r"[\s:+|-]*(Project|Filter|Relation|LocalRelation|LogicalRDD)\b", x) for x in plan.strip().splitlines()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -8,6 +8,7 @@ hdfs, s3, gs as far as pyarrow has them); an address of any other kind raises.
 
 from __future__ import annotations
 
+import base64
 import bz2
 import csv
 import datetime as dt
@@ -24,6 +25,7 @@ import uuid
 from dataclasses import dataclass
 from xml.sax.saxutils import XMLGenerator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -241,6 +243,7 @@ class _Pprint(_Pickle):
 
 #: writers of one file by format, and the ends of their names; more may be registered
 WRITERS = {"json": (_Json, "json"), "jsonlines": (_JsonLines, "jl"), "csv": (_Csv, "csv"), "xml": (_Xml, "xml"), "pickle": (_Pickle, "pickle"), "marshal": (_Marshal, "marshal"), "pprint": (_Pprint, "txt")}
+_BUILT_IN = dict(WRITERS)
 _OPEN = {"none": lambda f: f, "gzip": lambda f: gzip.GzipFile(fileobj=f, mode="wb"), "bz2": lambda f: bz2.BZ2File(f, "wb"), "lzma": lambda f: lzma.LZMAFile(f, "wb")}
 _END = {"none": "", "gzip": ".gz", "bz2": ".bz2", "lzma": ".xz"}
 
@@ -276,9 +279,10 @@ class _FileWriter(DataSourceWriter):
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite or options.get("replace") == "true"
         self.kind, self.codec, self.batch = options.get("kind", "json"), options.get("codec", "none"), options.get("batch")
         self.options = {str(k): str(v) for k, v in options.items()}
-        if self.kind not in WRITERS or self.codec not in _OPEN:
+        own = self.options.pop("writer", None)  # registered in the process that asked for the feed
+        if (own is None and self.kind not in WRITERS) or self.codec not in _OPEN:
             raise ValueError(f"unknown kind or codec: {self.kind}, {self.codec}")
-        self.writer, suffix = WRITERS[self.kind]
+        self.writer, suffix = WRITERS[self.kind] if own is None else cloudpickle.loads(base64.b64decode(own))
         self.end = f".{suffix}{_END[self.codec]}"
         file_system(self.path)
 
@@ -369,13 +373,17 @@ def export(items: DataFrame, path: str, fmt: str = "jsonlines", mode: str = "app
     elif batch is None and fmt == "csv" and w_codec:
         csv_ready(items, options.get("join", ",")).write.mode(mode).options(header=options.get("header", True), sep=options.get("delimiter", ","), lineSep="\r\n", escape='"', emptyValue="", compression=w_codec).csv(path)
     elif batch is None and fmt == "xml" and w_codec:
-        json_ready(items).write.mode(mode).options(rootTag=options.get("root", "items"), rowTag=options.get("row", "item"), arrayElementName="value", compression=w_codec).format("xml").save(path)
+        # lists as elements of their own inside the field's element
+        lists = [F.when(F.col(f"`{n}`").isNotNull(), F.struct(F.col(f"`{n}`").alias("value"))).alias(n) if t.startswith("array") else F.col(f"`{n}`") for n, t in items.dtypes]
+        json_ready(items).select(*lists).write.mode(mode).options(rootTag=options.get("root", "items"), rowTag=options.get("row", "item"), arrayElementName="value", compression=w_codec).format("xml").save(path)
     elif fmt in WRITERS:
         register(items.sparkSession)
         if batch is not None:  # every batch in one task, in one run of its rows
             items = items.repartition(batch).sortWithinPartitions(batch)
             options = {**options, "batch": batch}
         replace = {"replace": "true"} if mode == "overwrite" else {}
+        if WRITERS[fmt] is not _BUILT_IN.get(fmt):
+            options = {**options, "writer": base64.b64encode(cloudpickle.dumps(WRITERS[fmt])).decode()}
         items.write.format("webloom_feed").mode("append").options(path=path, kind=fmt, codec=codec, **replace, **{k: v if isinstance(v, str) else str(v).lower() for k, v in options.items()}).save()
     else:
         raise ValueError(f"no writer for {fmt} with {codec}")

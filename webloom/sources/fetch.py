@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +120,6 @@ def stopped_early(responses: DataFrame, most: int, when: Column | None = None) -
 
 def sitemap_body(content_kind: Column, url: Column, body: Column, most: int = MAX_SIZE) -> Column:
     """The XML of a response that may be a sitemap: of XML answers the body, gzip unpacked (null beyond ``most`` bytes or if broken), else the body if the address says so; null for others."""
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def unzipped(b: pd.Series) -> pd.Series:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from webloom.llm import residue
 from webloom.llm.linear import ChainCRF, feature_id
 from webloom.llm.page import Block, Page, parse
+from webloom.runtime import spread
 
 BITS = 18
 #: class names that declare the body of a post
@@ -322,7 +323,7 @@ def _stack(t: pa.Table):
 def _sampled(responses: DataFrame, pages: int, residue_rows: int) -> pa.Table:
     """One scan for both models: about ``residue_rows`` sampled rows, of which about ``pages`` teach the field."""
     s, step = residue.sample_pages(responses, max(pages, residue_rows))
-    return s.mapInArrow(_training(max(1, int(pages * step)), residue_rows > 0), SAMPLE).toArrow()
+    return spread(s).mapInArrow(_training(max(1, int(pages * step)), residue_rows > 0), SAMPLE).toArrow()
 
 
 def _field(t: pa.Table, held_out: int = 0) -> ChainCRF | None:
@@ -402,7 +403,7 @@ def main_lines(responses: DataFrame, most: int = 2_000, residue_rows: int = 20_0
     and none of the sample taught the field, the query raises.
     """
     shared = responses.sparkSession.sparkContext.broadcast(model or fit(responses, most, residue_rows))  # three weight vectors of 2**18 floats, 3 MB
-    rows = responses.filter(F.octet_length("body") > 0).select(F.col("response_id").cast("long"), "body")
+    rows = spread(responses.filter(F.octet_length("body") > 0).select(F.col("response_id").cast("long"), "body"))
     return rows.mapInArrow(_decode(shared), "response_id long, line_no int")
 
 

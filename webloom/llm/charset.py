@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.runtime import spread
+
 #: Russian letters by their frequency in per cent (public counts, ё by its spoken share).
 _RUSSIAN = {
     "о": 10.97, "е": 8.45, "а": 8.01, "и": 7.35, "н": 6.70, "т": 6.26, "с": 5.47, "р": 4.73, "в": 4.54, "л": 4.40, "к": 3.49,
@@ -381,7 +383,7 @@ def garbled(df: DataFrame, id_column: str, text_column: str, with_text: bool = F
     are ignored. Samples in code elements, or in plain text on lines indented by four blanks, are sound.
     """
     out = "record_id long, text string, lost boolean" if with_text else "record_id long"
-    return df.select(F.col(id_column).cast("long"), F.col(text_column)).filter(F.col(text_column).isNotNull()).mapInArrow(_scan(with_text), out)
+    return spread(df.select(F.col(id_column).cast("long"), F.col(text_column)).filter(F.col(text_column).isNotNull())).mapInArrow(_scan(with_text), out)
 
 
 def garbled_records(responses: DataFrame, headers: DataFrame, with_text: bool = False) -> DataFrame:

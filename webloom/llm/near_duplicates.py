@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webloom.runtime import materialize, shuffle_width
+from webloom.runtime import materialize, shuffle_width, spread
 
 _MARKUP = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[/!?a-zA-Z][^>]*>", re.S | re.I)
 _BLANKS = re.compile(r"[ \t\r\n]+")
@@ -262,7 +262,7 @@ class NearDuplicates:
 
         ``hot``: documents of one band that meet in one task."""
         spark = texts.sparkSession
-        self.sets = sets = materialize(texts.filter("id is not null and text is not null").mapInArrow(_sets(gram, is_page), SETS), "ngrams")
+        self.sets = sets = materialize(spread(texts.filter("id is not null and text is not null")).mapInArrow(_sets(gram, is_page), SETS), "ngrams")
         rep = sets.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
         # a class can hold a third of all rows: the side with the representatives is unique, so a hot class is one probe key
         self.members = materialize(sets.select("id", "c1", "c2").join(rep, ["c1", "c2"]).select("id", "rep"), "classes")

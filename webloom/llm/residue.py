@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.linear import feature_id, fit_logistic
 from webloom.llm.page import Page, parse
+from webloom.runtime import spread
 
 BITS = 18
 
@@ -321,7 +322,7 @@ def fit(responses: DataFrame, most: int = 20_000, held_out: int = 0, phrases: Ph
     What reaches the driver is the sample's labelled feature lists: about 12 MB at the default bound, whatever the table.
     Without a body in the sample nothing is residue.
     """
-    t = sample_pages(responses, most)[0].mapInArrow(_sample(phrases or Phrases.without()), SAMPLE).toArrow()
+    t = spread(sample_pages(responses, most)[0]).mapInArrow(_sample(phrases or Phrases.without()), SAMPLE).toArrow()
     return ResidueModel.fitted(t, held_out), t
 
 
@@ -343,7 +344,7 @@ def residue_pages(responses: DataFrame, most: int = 20_000, model: ResidueModel
     """
     model = model or fit(responses, most)[0]
     shared = responses.sparkSession.sparkContext.broadcast(model)  # two weight vectors of 2**18 floats, 2 MB
-    return responses.filter(F.octet_length("body") > 0).select(F.col("response_id").cast("long"), "body").mapInArrow(_find(shared), "response_id long")
+    return spread(responses.filter(F.octet_length("body") > 0).select(F.col("response_id").cast("long"), "body")).mapInArrow(_find(shared), "response_id long")
 
 
 def validation(responses: DataFrame, most: int = 20_000) -> DataFrame:

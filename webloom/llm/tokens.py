@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from webloom.runtime import materialize, shuffle_width
+from webloom.runtime import materialize, shuffle_width, spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -140,7 +140,7 @@ def _encode(docs: DataFrame, columns: list[str], tokenizer: str, folder: str, ch
     path = rank_file(tokenizer, folder)
     kept = [docs.schema[c].dataType for c in columns]
     fields = ", ".join(f"c{k} {t.simpleString()}" for k, t in enumerate(kept))
-    texts = docs.select(*columns, F.col("text").cast("string").alias("text"))
+    texts = spread(docs.select(*columns, F.col("text").cast("string").alias("text")))
     split = texts.mapInArrow(_split_texts(len(kept), chunk_bytes, [to_arrow_type(t) for t in kept]), f"chunk long, pos int, word string, {fields}, at array<int>")
     split = materialize(split, "split")
     used = split.filter("word is not null").select("chunk", "pos", "word")

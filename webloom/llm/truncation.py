@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from webloom.runtime import materialize
+from webloom.runtime import materialize, spread
 
 
 def canonical_source(source: Column) -> Column:
@@ -338,7 +338,7 @@ def _read(row_type: pa.DataType):
 def _read_once(named: DataFrame) -> DataFrame:
     row = named.schema["row"].dataType
     out = ", ".join(["kind string", f"row {row.simpleString()}", "source string", "h long", *(f"{n} {'boolean' if n == 'in_code' else 'string'}" for n in _ENDING), "last int", "lens array<int>", "n long", "ends long"])
-    return materialize(named.select("row", "source", "text").mapInArrow(_read(to_arrow_type(row)), out), "endings")
+    return materialize(spread(named.select("row", "source", "text")).mapInArrow(_read(to_arrow_type(row)), out), "endings")
 
 
 def _with_null(by_source: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:

@@ -32,6 +32,19 @@ def test_forms(spark):
         _form(spark, css="form", xpath="//form")
 
 
+def test_forms_of_many_pages_are_not_joined(spark):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://a.test/p?z=1").alias("url"), F.when(F.col("id") % 4 < 3, F.concat(F.lit(FORM), F.lit("<form name=own><input name=n value="), "id", F.lit("></form>"))).alias("html"))
+    d = requests.forms(pages, name="own")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(x in plan for x in ("Join", "Broadcast", "Exchange"))
+    want = [(i, f"http://a.test/p?n={i}", "GET", None) for i in range(40) if i % 4 < 3]
+    assert sorted((r.page_id, r.url, r.method, r.body) for r in d.collect()) == want
+    given = requests.forms(pages, name="own", nodes=dom.nodes(pages).repartition(3))
+    plan = given._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert sorted((r.page_id, r.url, r.method, r.body) for r in given.collect()) == want
+
+
 def test_follow(spark):
     pages = spark.createDataFrame([(1, "http://a.test/x/", "<a href=' y '>1</a><a>none</a><link href='/l'><p>z</p><a href='y'>2</a>"), (2, None, "<a href='q'>"), (3, "http://a.test/", None)], "page_id int, url string, html string")
     got = [r.url for r in requests.follow_all(pages, css="a, link, p").orderBy("pos").collect()]

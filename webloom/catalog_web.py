@@ -10,7 +10,7 @@ from webloom.catalog import _HEADER_SQL, _QUEUE, _pages, _queue, _slot_events, _
 from webloom.functions import urls
 from webloom.operators import dom, frontier, links, loader, media, policies, requests, stats
 from webloom.plans import chain
-from webloom.runtime import scratch_path, table
+from webloom.runtime import scratch_path, spread, table
 from webloom.sinks import exporters
 from webloom.sources import fetch, stores
 
@@ -112,7 +112,7 @@ def dom_tags(spark, d):
 @query(r"""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN 'http://a.test/f/go' ELSE 'http://a.test/f/go?' || q END AS url, CASE WHEN p_partkey % 2 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN p_partkey % 2 = 0 THEN q END AS body FROM
   (SELECT p_partkey, 'name=' || replace(url_encode(p_name), '%20', '+') || CASE WHEN p_size % 3 = 0 THEN '&small=on' ELSE '' END || '&c=' || CASE WHEN p_size % 5 = 0 THEN '2' ELSE '1' END || '&note=x+y&b=go&extra=1' AS q FROM part)""")
 def form_requests(spark, d):
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_size"))
     page = F.concat(
         F.lit("<form name='other'><input name='no' value='1'></form><form name='f' action='go' method='"), F.when(F.col("p_partkey") % 2 == 0, "post").otherwise("get"), F.lit("'><input name='name' value='"), _xml(F.col("p_name")),
         F.lit("'><input type='checkbox' name='small'"), F.when(F.col("p_size") % 3 == 0, " checked").otherwise(""), F.lit("><input name='off' disabled><input type='reset' name='r'><select name='c'><option value='1'>one<option value='2'"),

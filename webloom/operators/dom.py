@@ -8,6 +8,7 @@ a child joins on (page, parent), a descendant on the page with pre inside (pre,
 
 from __future__ import annotations
 
+import itertools
 import re
 from html.parser import HTMLParser
 
@@ -114,6 +115,53 @@ def nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Dat
     return pages.select(F.col(page_id), F.col(html)).filter(F.col(page_id).isNotNull() & F.col(html).isNotNull()).mapInArrow(_shred, f"page_id {kind}, {NODES}")
 
 
+_CONTROLS = ("input", "textarea", "select", "button", "option")
+_CONTROL = "struct<pre:int,post:int,tag:string,attrs:map<string,string>,text:string>"
+_FORM = "struct<pre:int,post:int,attrs:map<string,string>>"
+
+
+def _lists(rows: list[list[dict]], fields: dict) -> pa.ListArray:
+    flat = [n for r in rows for n in r]
+    ends = list(itertools.accumulate((len(r) for r in rows), initial=0))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array([get(n) for n in flat], t) for get, t in fields.values()], list(fields)))
+
+
+def _form_parts(batches):
+    attrs = (lambda n: list(n["attrs"].items()), pa.map_(pa.string(), pa.string()))
+    form = {"pre": (lambda n: n["node"], pa.int32()), "post": (lambda n: n["post"], pa.int32())}
+    text = lambda n: "".join(n["own"]) if n["tag"] == "textarea" else "".join(n["parts"]) if n["tag"] == "option" else ""
+    control = form | {"tag": (lambda n: n["tag"], pa.string()), "attrs": attrs, "text": (text, pa.string())}
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            pages = [tree(h.decode("utf-8", "replace") if isinstance(h, bytes) else h) for h in part.column(3).to_pylist()]
+            controls = _lists([[n for n in p if n["tag"] in _CONTROLS] for p in pages], control)
+            found = _lists([[n for n in p if n["tag"] == "form"] for p in pages], form | {"attrs": attrs})
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], controls, found], ["page_id", "url", "_base", "controls", "forms"])
+
+
+def form_parts(pages: DataFrame) -> DataFrame:
+    """``page_id, url, _base, controls, forms`` of pages (page_id, url, _base, html): their form controls and their forms in document order, a row a page.
+
+    A page is read once and where it lies: nothing is joined or shuffled. Pages with a null id, address or text give no row.
+    """
+    kind = pages.schema["page_id"].dataType.simpleString()
+    p = pages.select("page_id", "url", "_base", "html").filter("page_id is not null and url is not null and html is not null")
+    return p.mapInArrow(_form_parts, f"page_id {kind}, url string, _base string, controls array<{_CONTROL}>, forms array<{_FORM}>")
+
+
+def form_parts_of(pages: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``form_parts`` of pages whose elements are there already: controls from ``nodes``, forms from ``chosen``. One shuffle by page, no join."""
+    in_order = lambda c: F.array_sort(F.collect_list(c), lambda a, b: a["pre"] - b["pre"])  # noqa: E731 - maps have no order of their own
+    text = F.when(F.col("tag") == "textarea", F.col("own_text")).when(F.col("tag") == "option", F.col("text")).otherwise("")
+    control = nodes.filter(F.col("tag").isin(*_CONTROLS)).select("page_id", F.struct("pre", "post", "tag", "attrs", text.alias("text")).alias("c"))
+    form = chosen.filter(F.col("tag") == "form").select("page_id", F.struct("pre", "post", "attrs").alias("f"))
+    site = pages.filter("url is not null").select("page_id", F.struct("url", "_base").alias("s"))
+    all_ = control.unionByName(form, allowMissingColumns=True).unionByName(site, allowMissingColumns=True).filter("page_id is not null")
+    d = all_.groupBy("page_id").agg(in_order("c").alias("controls"), in_order("f").alias("forms"), F.collect_list("s").alias("s"))
+    return d.select("page_id", "controls", "forms", F.explode("s").alias("s")).select("page_id", "s.url", "s._base", "controls", "forms")
+
+
 # --- selectors ---------------------------------------------------------------------------------------
 
 _STEP = re.compile(r"\s*(>|\+|~)\s*|\s+")

@@ -109,39 +109,46 @@ def forms(pages: DataFrame, name: str | None = None, id: str | None = None, numb
     """
     if css is not None and xpath is not None:
         raise ValueError("css and xpath cannot both be set")
-    nodes = dom.nodes(pages) if nodes is None else nodes
-    chosen = dom.css(nodes, css) if css is not None else dom.xpath(nodes, xpath) if xpath is not None else nodes
-    chosen = chosen.filter(F.col("tag") == "form")
+    site = with_base(pages.select("page_id", "url", "html").filter("url is not null"), "url")
+    if nodes is None and css is None and xpath is None:
+        parts = dom.form_parts(site)
+    else:
+        nodes = dom.nodes(pages) if nodes is None else nodes
+        chosen = dom.css(nodes, css) if css is not None else dom.xpath(nodes, xpath) if xpath is not None else nodes
+        parts = dom.form_parts_of(site, nodes, chosen)
+    found = F.col("forms")
     for key, want in (("name", name), ("id", id)):
         if want is not None:
-            chosen = chosen.filter(F.element_at("attrs", key) == want)
-    in_order = lambda c: F.array_sort(c, lambda a, b: a["pre"] - b["pre"])  # noqa: E731 - maps have no order of their own
-    nth = F.get(in_order(F.collect_list(F.struct("pre", "post", "attrs"))), F.lit(number))
-    form = chosen.groupBy("page_id").agg(nth.alias("f")).filter("f is not null").select("page_id", "f.*").withColumnsRenamed({"pre": "_pre", "post": "_post", "attrs": "_form"})
-    at = F.col("attrs")
-    attr = lambda k: F.element_at(at, k)
-    inside = nodes.filter(F.col("tag").isin("input", "textarea", "select", "button", "option")).join(form.select("page_id", "_pre", "_post"), "page_id")
-    inside = inside.filter((F.col("pre") > F.col("_pre")) & (F.col("pre") <= F.col("_post")))
-    kind = F.lower(F.coalesce(attr("type"), F.when(F.col("tag") == "button", "submit").otherwise("")))
-    control = inside.filter((F.col("tag") != "option") & ~F.map_contains_key(at, "disabled")).select("page_id", "node", "pre", "post", "tag", "attrs", "own_text", kind.alias("kind"))
-    button = ((F.col("tag") == "button") & (F.col("kind") == "submit")) | ((F.col("tag") == "input") & F.col("kind").isin("submit", "image"))
-    box = F.col("kind").isin("checkbox", "radio") & (F.col("tag") == "input")
-    sends = ~button & (F.col("tag") != "button") & attr("name").isNotNull() & ~((F.col("tag") == "input") & F.col("kind").isin("button", "reset", "file")) & ~(box & ~F.map_contains_key(at, "checked"))
-    value = F.when(F.col("tag") == "textarea", F.col("own_text")).otherwise(F.coalesce(attr("value"), F.when(box, "on").otherwise("")))
+            found = F.filter(found, _named(key, want))
+    # all that belongs to a page stands in its row, so nothing is joined; each step's columns are used more than once
+    d = parts.withColumn("_f", F.get(found, F.lit(number))).filter("_f is not null")
+    d = d.select("page_id", "url", "_base", F.col("_f.attrs").alias("_form"), F.filter("controls", lambda n: (n["pre"] > F.col("_f.pre")) & (n["pre"] <= F.col("_f.post"))).alias("_inside"))
+    attr = lambda n, k: F.element_at(n["attrs"], k)
+    has = lambda n, k: F.map_contains_key(n["attrs"], k)
+    kind = lambda n: F.lower(F.coalesce(attr(n, "type"), F.when(n["tag"] == "button", "submit").otherwise("")))
+    box = lambda n: (n["tag"] == "input") & n["kind"].isin("checkbox", "radio")
+    button = lambda n: ((n["tag"] == "button") & (n["kind"] == "submit")) | ((n["tag"] == "input") & n["kind"].isin("submit", "image"))
+    sends = lambda n: (n["tag"] != "button") & attr(n, "name").isNotNull() & ~((n["tag"] == "input") & n["kind"].isin("submit", "image", "button", "reset", "file")) & ~(box(n) & ~has(n, "checked"))
     pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
-    plain = control.filter(sends & (F.col("tag") != "select")).select("page_id", "pre", F.lit(0).alias("at"), pair(attr("name"), value).alias("p"))
-    # options of a select: those selected, or the first one of a single choice
-    selects = control.filter(sends & (F.col("tag") == "select")).select("page_id", F.col("pre").alias("_a"), F.col("post").alias("_b"), attr("name").alias("_n"), F.map_contains_key(at, "multiple").alias("_many"))
-    options = inside.filter(F.col("tag") == "option").select("page_id", "pre", F.map_contains_key(at, "selected").alias("on"), F.coalesce(attr("value"), F.col("text")).alias("v"))
-    o = selects.join(options, "page_id").filter((F.col("pre") > F.col("_a")) & (F.col("pre") <= F.col("_b")))
-    o = o.groupBy("page_id", "_a", "_n", "_many").agg(F.array_sort(F.collect_list(F.struct("pre", "on", "v"))).alias("os"))
-    on = F.filter("os", lambda x: x["on"])
-    taken = F.when(F.size(on) > 0, on).when(~F.col("_many"), F.slice("os", 1, 1)).otherwise(F.slice("os", 1, 0))
-    selected = o.select("page_id", F.col("_a").alias("pre"), "_n", F.posexplode(taken).alias("at", "x")).select("page_id", "pre", "at", pair(F.col("_n"), F.col("x.v")).alias("p"))
-    sent = plain.unionByName(selected).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "at", "p"))), lambda x: x["p"]).alias("sent"))
-    buttons = control.filter(button).groupBy("page_id").agg(in_order(F.collect_list(F.struct("pre", attr("name").alias("n"), F.coalesce(attr("value"), F.lit("")).alias("v"), at.alias("attrs")))).alias("buttons"))
-    d = form.join(sent, "page_id", "left").join(buttons, "page_id", "left")
     empty = F.array().cast("array<struct<k:string,v:string>>")
+    control = F.filter("_inside", lambda n: (n["tag"] != "option") & ~has(n, "disabled"))
+    options = F.transform(F.filter("_inside", lambda n: n["tag"] == "option"), lambda n: F.struct(n["pre"].alias("pre"), has(n, "selected").alias("on"), F.coalesce(attr(n, "value"), n["text"]).alias("v")))
+    d = d.select("page_id", "url", "_base", "_form", F.transform(control, lambda n: n.withField("kind", kind(n))).alias("_control"), options.alias("_options"))
+
+    def selected(n: Column) -> Column:
+        """Options of a select: those selected, or the first one of a single choice."""
+        own = F.filter("_options", lambda o: (o["pre"] > n["pre"]) & (o["pre"] <= n["post"]))
+        on = F.filter(own, lambda o: o["on"])
+        taken = F.when(F.exists(own, lambda o: o["on"]), on).when(has(n, "multiple"), F.slice(own, 1, 0)).otherwise(F.slice(own, 1, 1))
+        return F.transform(taken, lambda o: pair(attr(n, "name"), o["v"]))
+
+    def pairs_of(n: Column) -> Column:
+        value = F.when(n["tag"] == "textarea", n["text"]).otherwise(F.coalesce(attr(n, "value"), F.when(box(n), "on").otherwise("")))
+        return F.when(n["tag"] == "select", selected(n)).otherwise(F.array(pair(attr(n, "name"), value)))
+
+    sent = F.flatten(F.transform(F.filter("_control", sends), pairs_of))
+    buttons = F.transform(F.filter("_control", button), lambda n: F.struct(attr(n, "name").alias("n"), F.coalesce(attr(n, "value"), F.lit("")).alias("v"), n["attrs"].alias("attrs")))
+    d = d.select("page_id", "url", "_base", "_form", sent.alias("sent"), buttons.alias("buttons"))
     hit = F.col("buttons")
     if click:
         for k, want in click.items():
@@ -150,16 +157,14 @@ def forms(pages: DataFrame, name: str | None = None, id: str | None = None, numb
         if "nr" in click:
             hit = F.slice(F.col("buttons"), int(click["nr"]) + 1, 1)
         if not dont_click:
-            d = d.filter(F.col("buttons").isNull() | (F.size(hit) == 1))
+            d = d.filter((F.size("buttons") == 0) | (F.size(hit) == 1))
     clicked = F.when(F.lit(dont_click), F.lit(None)).otherwise(F.get(hit, F.lit(0)))
-    pairs = F.concat(F.coalesce("sent", empty), F.when(clicked["n"].isNotNull(), F.array(F.struct(clicked["n"].alias("k"), clicked["v"].alias("v")))).otherwise(empty))
+    pairs = F.concat("sent", F.when(clicked["n"].isNotNull(), F.array(F.struct(clicked["n"].alias("k"), clicked["v"].alias("v")))).otherwise(empty))
     if overrides:
         names = list(overrides)
         more = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in overrides.items() if v is not None]) if any(v is not None for v in overrides.values()) else empty
         pairs = F.concat(F.filter(pairs, lambda x: ~x["k"].isin(*names)), more)
-    d = d.withColumn("_pairs", pairs)
-    site = with_base(pages.select("page_id", "url", "html").filter("url is not null"), "url").select("page_id", "_base", "url")
-    d = d.join(site, "page_id").withColumn("_action", F.coalesce(F.nullif(F.trim(F.element_at("_form", "action")), F.lit("")), F.col("url")))
+    d = d.withColumn("_pairs", pairs).withColumn("_action", F.coalesce(F.nullif(F.trim(F.element_at("_form", "action")), F.lit("")), F.col("url")))
     d = urls.resolve(d, "_base", "_action", "_to")
     method = F.upper(F.coalesce(F.element_at("_form", "method"), F.lit("GET")))
     method = F.when(method.isin("GET", "POST"), method).otherwise("GET")
